@@ -6,13 +6,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, oph, urlfilter
+from . import bpe, chat, oph, packing, pii, urlfilter
 from .common import table
 
 #: Host and path rules of op6, with their verdicts.
 OP6_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 
 
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file lies on this machine; the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        *[pii.count_kind(F.col("base_spans"), kind).alias(f"n_{kind}") for kind in pii.KINDS],
+        F.sha2(F.encode("base_spans", "UTF-8"), 256).alias("base_sha256"),
+        "spans",
+    )
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     words = "</s>[INST] ok [/INST]"
@@ -53,6 +76,11 @@ FROM e WHERE conv_id IS NOT NULL GROUP BY conv_id
 """
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"), pattern(), end_id=0)
+    return packing.digest(pieces)
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [urlfilter.host_rule(t, v) for t, v in OP6_RULES] + list(urlfilter.PATTERNS)
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -82,5 +110,16 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return oph.fingerprint_neighbours(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op6_url_filter, op7_fingerprints)}
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = tokenizer("byte_bpe_multi_50k.tiktoken")
+    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern()).select("doc_id", "ids")
+    return coded.select(
+        "doc_id",
+        (F.length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_chat_format, op3_packing, op6_url_filter, op7_fingerprints, op8_bpe)}
 ORACLES = {"op2_chat_format": OP2_SQL, "op6_url_filter": OP6_SQL}
