@@ -18,13 +18,15 @@ without words have the empty fingerprint, alike to itself (1) and to no other (0
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BINS, SHIFT, PROBES, WORDS = 256, 55, 12, 5
 LOW = (1 << SHIFT) - 1
 #: Rows of a window partition, on average, where neighbours are brought together.
 ROWS_A_BUCKET = 2000
+#: Beyond so many buckets their heads' ids are shuffled instead of broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
@@ -70,46 +72,52 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(fixed)
 
 
-def next_by_id(docs: DataFrame, payload: list[str], tie: str) -> DataFrame:
-    """Adds ``next`` (struct of ``payload``): of the next row in descending doc_id
-    (then ascending ``tie``; null ids last); after the last comes the first.
+def next_by_id(docs: DataFrame) -> DataFrame:
+    """Adds ``fp``, ``next_text`` and ``next_fp``: of the next row in descending doc_id
+    (then by text; null ids last); after the last row comes the first.
 
-    Rows are dealt to buckets of neighbouring ids, each a small window; the one
-    row of every bucket whose next lies in another gets it by a join on the bucket.
+    Rows are dealt to buckets of neighbouring ids, each a small window, so texts are
+    shuffled once. The one row of every bucket whose next lies in another bucket gets
+    it from the bucket heads, of which there is one in ROWS_A_BUCKET rows.
     """
     spans = docs.agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("doc_id").alias("n")).first()
     lo, n = spans["lo"] or 0, max(1, spans["n"])
     width = max(1, ((spans["hi"] or 0) - lo + 1) * ROWS_A_BUCKET // n)
-    bucket = F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)), F.lit(-1)).cast("long")
-    docs = docs.withColumn("__bucket", bucket)
-    from pyspark.sql import Window as W
-
-    order = [F.col("doc_id").desc_nulls_last(), F.col(tie)]
-    inside = W.partitionBy("__bucket").orderBy(*order)
-    docs = docs.withColumn("__here", F.struct(*payload))
-    rows = docs.withColumn("__next", F.lead("__here").over(inside))
-
-    tops = docs.groupBy("__bucket").agg(F.max("doc_id").alias("__top"))
-    heads = docs.join(tops, "__bucket").filter(F.col("doc_id").eqNullSafe(F.col("__top")))
-    heads = heads.withColumn("__rank", F.row_number().over(inside)).filter("__rank = 1").select("__bucket", F.col("__here").alias("__head"))
-    # One row for each bucket: its number only, so this one window stays light.
-    numbers = tops.select("__bucket").withColumn("__all", F.lit(0))
-    down = W.partitionBy("__all").orderBy(F.col("__bucket").desc())
-    chain = numbers.select("__bucket", F.coalesce(F.lead("__bucket").over(down), F.max("__bucket").over(W.partitionBy("__all"))).alias("__to"))
-    bridge = chain.join(heads.withColumnRenamed("__bucket", "__to"), "__to").select("__bucket", "__head")
-    rows = rows.join(bridge, "__bucket", "left")
-    return rows.withColumn("next", F.coalesce("__next", "__head")).drop("__bucket", "__here", "__next", "__head")
+    docs = docs.withColumn("bucket", F.coalesce(F.floor((F.col("doc_id") - F.lit(lo)) / F.lit(width)), F.lit(-1)).cast("long"))
+    inside = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
+    rows = with_fingerprint(docs, "text", "fp")
+    rows = rows.select("*", F.lead("text").over(inside).alias("lead_text"), F.lead("fp").over(inside).alias("lead_fp"), F.lead(F.lit(True)).over(inside).alias("has_lead"))
+
+    hint = F.broadcast if n // ROWS_A_BUCKET <= BROADCAST_ROWS else (lambda df: df)
+    tops = docs.groupBy("bucket").agg(F.max("doc_id").alias("top"))
+    # A row for each bucket: a few numbers only, so these two windows over all of them stay light.
+    every = Window.partitionBy("all")
+    chain = tops.withColumn("all", F.lit(0)).select(
+        F.col("bucket").alias("from_bucket"),
+        F.coalesce(F.lead("bucket").over(every.orderBy(F.col("bucket").desc())), F.max("bucket").over(every)).alias("bucket"),
+    )
+    heads = docs.join(hint(tops.withColumnRenamed("bucket", "top_bucket")), (F.col("bucket") == F.col("top_bucket")) & F.col("doc_id").eqNullSafe(F.col("top")))
+    heads = heads.select("bucket", "doc_id", "text", F.row_number().over(inside).alias("k")).filter("k = 1").select("bucket", F.col("text").alias("head_text"))
+    heads = with_fingerprint(heads, "head_text", "head_fp")
+    bridge = chain.join(heads, "bucket").select(F.col("from_bucket").alias("bucket"), "head_text", "head_fp")
+    rows = rows.join(bridge, "bucket", "left")
+    return rows.select(
+        *docs.columns,
+        "fp",
+        F.when(F.col("has_lead"), F.col("lead_text")).otherwise(F.col("head_text")).alias("next_text"),
+        F.when(F.col("has_lead"), F.col("lead_fp")).otherwise(F.col("head_fp")).alias("next_fp"),
+    )
 
 
 def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text, whose last half is taken
     from the next document by descending id; see the module's defined cases."""
     docs = docs.select("doc_id", F.coalesce(docs["text"], F.lit("")).alias("text"))
-    docs = with_fingerprint(docs.withColumn("n_chars", F.length("text").cast("long")), "text", "fp")
-    rows = next_by_id(docs, ["text", "fp"], "text")
+    rows = next_by_id(docs)
+    rows = rows.withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next.text"), F.lit(1), half))
-    rows = rows.select("doc_id", "n_chars", "fp", F.col("next.fp").alias("next_fp"), edited.alias("edited"))
+    edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - half), F.substring(F.col("next_text"), F.lit(1), half))
+    rows = rows.select("doc_id", "n_chars", "fp", "next_fp", edited.alias("edited"))
     rows = with_fingerprint(rows, "edited", "edited_fp")
     return rows.select(
         "doc_id",
