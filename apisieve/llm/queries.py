@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, oph, packing, pii, urlfilter
+from . import bpe, chat, lattice, ngram_join, oph, packing, pii, urlfilter
 from .common import table
 
 #: Host and path rules of op6, with their verdicts.
@@ -81,6 +81,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.digest(pieces)
 
 
+def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [urlfilter.host_rule(t, v) for t, v in OP6_RULES] + list(urlfilter.PATTERNS)
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -121,5 +125,9 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_chat_format, op3_packing, op6_url_filter, op7_fingerprints, op8_bpe)}
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_chat_format, op3_packing, op4_lattice, op6_url_filter, op7_fingerprints, op8_bpe, op9_ngram_join)}
 ORACLES = {"op2_chat_format": OP2_SQL, "op6_url_filter": OP6_SQL}
