@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, lattice, ngram_join, oph, packing, pii, urlfilter
-from .common import table
+from . import bpe, chat, lattice, lbl, ngram_join, oph, packing, pii, toxicity, urlfilter
+from .common import crc_mod, table
 
 #: Host and path rules of op6, with their verdicts.
 OP6_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -85,6 +85,13 @@ def op4_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = toxicity.labelled(docs, table(spark, sf_dir, "labels"), lambda doc_id: crc_mod(doc_id, 3) != 1)
+    scored = toxicity.score_documents(docs, toxicity.train(rows))
+    return scored.select("doc_id", (crc_mod(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [urlfilter.host_rule(t, v) for t, v in OP6_RULES] + list(urlfilter.PATTERNS)
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"), rules)
@@ -129,5 +136,10 @@ def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_chat_format, op3_packing, op4_lattice, op6_url_filter, op7_fingerprints, op8_bpe, op9_ngram_join)}
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return lbl.score_documents(docs, crc_mod(F.col("doc_id"), 10) != 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_chat_format, op3_packing, op4_lattice, op5_toxicity, op6_url_filter, op7_fingerprints, op8_bpe, op9_ngram_join, op10_language_model)}
 ORACLES = {"op2_chat_format": OP2_SQL, "op6_url_filter": OP6_SQL}
