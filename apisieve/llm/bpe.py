@@ -15,9 +15,10 @@ they have an output column's name, in which case they are dropped.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
+from functools import lru_cache
 from heapq import heappop, heappush
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from .chunks import Chunks
+from .common import small_batches
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -33,41 +35,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by rank; ``pop`` gives the least rank's least position."""
+    """Which ranks wait: three bitmap levels of 64-bit words over rank buckets of list positions.
+    Empty between pre-tokens; ``Encoder.merge`` works on its levels in place."""
 
     def __init__(self, ranks: int):
         words = (ranks >> 6) + 1
-        self.low, self.mid, self.top = [0] * words, [0] * ((words >> 6) + 1), 0
+        self.low, self.mid = [0] * words, [0] * ((words >> 6) + 1)
         self.buckets: dict[int, list[int]] = {}
 
-    def push(self, rank: int, at: int) -> None:
-        held = self.buckets.get(rank)
-        if held:
-            heappush(held, at)
-            return
-        self.buckets[rank] = [at]
-        w = rank >> 6
-        self.low[w] |= 1 << (rank & 63)
-        self.mid[w >> 6] |= 1 << (w & 63)
-        self.top |= 1 << (w >> 6)
-
-    def pop(self) -> tuple[int, int]:
-        t = (self.top & -self.top).bit_length() - 1
-        m = self.mid[t]
-        w = (t << 6) | ((m & -m).bit_length() - 1)
-        b = self.low[w]
-        rank = (w << 6) | ((b & -b).bit_length() - 1)
-        held = self.buckets[rank]
-        at = heappop(held)
-        if not held:
-            del self.buckets[rank]
-            self.low[w] = b = b & (b - 1)
-            if not b:
-                self.mid[t] = m = m & (m - 1)
-                if not m:
-                    self.top &= self.top - 1
-        return rank, at
-
 
 class Encoder:
     """Ids of texts under a rank vocabulary and a pre-token pattern."""
@@ -75,51 +50,71 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str, kept: int = 200_000):
         self.ranks, self.pattern, self.kept = ranks, regex.compile(pattern), kept
         self.queue = RankQueue(max(ranks.values()) + 1)
+        self.single = [bytes([b]) for b in range(256)]
         self.seen: dict[str, list[int]] = {}
         self.chunks = Chunks(self.encode_text)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
-        ranks, queue = self.ranks, self.queue
+        ranks = self.ranks
         whole = ranks.get(piece)
         if whole is not None:
             return [whole]
+        get, low, mid, buckets = ranks.get, self.queue.low, self.queue.mid, self.queue.buckets
         n = len(piece)
-        parts: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        waits = [-1] * n
-        get = ranks.get
-        for i in range(n - 1):
-            r = get(piece[i : i + 2])
-            if r is not None:
+        parts = list(map(self.single.__getitem__, piece))
+        after, before, waits = list(range(1, n + 1)), list(range(-1, n - 1)), [-1] * n
+        top, new = 0, [(i, r) for i in range(n - 1) if (r := get(piece[i : i + 2])) is not None]
+        while True:
+            for i, r in new:  # push
                 waits[i] = r
-                queue.push(r, i)
-        while queue.top:
-            r, i = queue.pop()
-            if waits[i] != r:
-                continue
+                held = buckets.get(r)
+                if held is not None:
+                    heappush(held, i)
+                    continue
+                buckets[r] = [i]
+                w = r >> 6
+                if not low[w]:
+                    m = w >> 6
+                    if not mid[m]:
+                        top |= 1 << m
+                    mid[m] |= 1 << (w & 63)
+                low[w] |= 1 << (r & 63)
+            if not top:
+                break
+            t = (top & -top).bit_length() - 1  # pop: find-first-set on each level
+            m = mid[t]
+            w = (t << 6) | ((m & -m).bit_length() - 1)
+            b = low[w]
+            rank = (w << 6) | ((b & -b).bit_length() - 1)
+            held = buckets[rank]
+            i = heappop(held)
+            if not held:
+                del buckets[rank]
+                low[w] = b = b & (b - 1)
+                if not b:
+                    mid[t] = m = m & (m - 1)
+                    if not m:
+                        top &= top - 1
+            new = ()
+            if waits[i] != rank:
+                continue  # stale
             j = after[i]
-            merged = parts[i] + parts[j]
-            parts[i], parts[j], waits[j] = merged, None, -1
+            parts[i] = merged = parts[i] + parts[j]
+            parts[j], waits[j], waits[i] = None, -1, -1
             k = after[i] = after[j]
+            p = before[i]
+            new = []
             if k < n:
                 before[k] = i
                 r = get(merged + parts[k])
-                if r is None:
-                    waits[i] = -1
-                else:
-                    waits[i] = r
-                    queue.push(r, i)
-            else:
-                waits[i] = -1
-            p = before[i]
+                if r is not None:
+                    new.append((i, r))
             if p >= 0:
+                waits[p] = -1
                 r = get(parts[p] + merged)
-                if r is None:
-                    waits[p] = -1
-                else:
-                    waits[p] = r
-                    queue.push(r, p)
+                if r is not None:
+                    new.append((p, r))
         return [ranks[x] for x in parts if x is not None]
 
     def encode_text(self, text: str) -> list[int]:
@@ -141,14 +136,30 @@ class Encoder:
 
 
 
+@lru_cache(maxsize=4)
+def encoder(path: str, pattern: str) -> Encoder:
+    """One for each Python worker, which keeps what it has learnt between tasks."""
+    return Encoder(load_ranks(path), pattern)
+
+
+@lru_cache(maxsize=4)
+def bytes_of(path: str) -> list[bytes]:
+    of = {i: b for b, i in load_ranks(path).items()}
+    return [of.get(i, b"") for i in range(max(of) + 1)]
+
+
+def decode_ids(ids: list[int], path: str) -> bytes:
+    return b"".join(map(bytes_of(path).__getitem__, ids))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """The documents with ``ids``: token ids as little-endian unsigned 32-bit integers."""
+    small_batches(docs.sparkSession)
 
     @pandas_udf("binary")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        coder = Encoder(load_ranks(path), pattern)
-        for texts in batches:
-            yield pd.Series([coder.ids(t or "").astype("<u4").tobytes() for t in texts], dtype=object)
+    def run(texts: pd.Series) -> pd.Series:
+        coder = encoder(path, pattern)
+        return pd.Series([coder.ids(t or "").astype("<u4").tobytes() for t in texts], dtype=object)
 
     return docs.select(*[c for c in docs.columns if c != "ids"], run(F.col(text_col)).alias("ids"))
 
@@ -157,11 +168,21 @@ def decode(ids: Column, path: str) -> Column:
     """The bytes of an ``ids`` column."""
 
     @pandas_udf("binary")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import numpy as np
-
-        of = {i: b for b, i in load_ranks(path).items()}
-        for many in batches:
-            yield pd.Series([b"".join(map(of.__getitem__, np.frombuffer(x, "<u4").tolist())) for x in many], dtype=object)
+    def run(many: pd.Series) -> pd.Series:
+        return pd.Series([decode_ids(np.frombuffer(x, "<u4").tolist(), path) for x in many], dtype=object)
 
     return run(ids)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
+    """The documents with ``ids``, and ``decoded``: the bytes that those ids decode to, in one pass."""
+    small_batches(docs.sparkSession)
+
+    @pandas_udf("struct<ids:binary,decoded:binary>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        coder = encoder(path, pattern)
+        ids = [coder.ids(t or "") for t in texts]
+        return pd.DataFrame({"ids": [x.astype("<u4").tobytes() for x in ids], "decoded": [decode_ids(x.tolist(), path) for x in ids]})
+
+    docs = docs.select(*[c for c in docs.columns if c not in ("ids", "decoded")], run(F.col(text_col)).alias("__coded"))
+    return docs.withColumns({"ids": F.col("__coded.ids"), "decoded": F.col("__coded.decoded")}).drop("__coded")

@@ -17,21 +17,37 @@ UNSAFE = re.compile(r" (?:\s|\Z)")
 
 
 class Chunks(dict):
-    """Maps a chunk (after its space) to its place in the pool of ids."""
+    """Maps a chunk (after its space) to its place in the pool of ids.
 
-    def __init__(self, encode: Callable[[str], list[int]], most: int = 300_000, longest: int = 64):
+    Two generations are kept: when the young one is full it becomes the old one, and
+    chunks met again move over, so frequent chunks are never encoded anew.
+    """
+
+    def __init__(self, encode: Callable[[str], list[int]], most: int = 200_000, longest: int = 64):
         super().__init__()
         self.encode, self.most, self.longest = encode, most, longest
-        self._reset()
+        self.old: dict[str, int] = {}
+        self.old_start = self.old_size = self.old_pool = np.zeros(0, np.int64)
+        self._fresh()
 
-    def _reset(self) -> None:
-        self.clear()
+    def _fresh(self) -> None:
         self.n = self.used = 0
         self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
         self.pool = np.zeros(1 << 14, np.uint32)
 
+    def _age(self) -> None:
+        self.old = dict(self)
+        self.old_start, self.old_size, self.old_pool = self.start, self.size, self.pool
+        self.clear()
+        self._fresh()
+
     def __missing__(self, chunk: str) -> int:
-        ids = self.encode(" " + chunk)
+        at = self.old.get(chunk)
+        if at is None:
+            ids = self.encode(" " + chunk)
+        else:
+            a = self.old_start[at]
+            ids = self.old_pool[a : a + self.old_size[at]]
         k, n = self.n, len(ids)
         while self.used + n > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
@@ -53,8 +69,8 @@ class Chunks(dict):
         head = np.asarray(self.encode(first), dtype=np.uint32)
         if not rest:
             return head
-        if self.n > self.most:
-            self._reset()
+        if self.n > self.most or self.used > 16 * self.most:
+            self._age()
         at = np.fromiter(map(self.__getitem__, rest), np.int64, len(rest))
         size = self.size[at]
         ends = np.cumsum(size)

@@ -24,6 +24,7 @@ import heapq
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Chunks
+from .common import small_batches
 
 LENGTH, GROUP_TOKENS = 1024, 1 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
@@ -55,6 +57,12 @@ def json_encoder(path: str, pattern: str):
     return lambda text: coder.encode(text, allowed_special="all") if marks.search(text) else coder.encode_ordinary(text)
 
 
+@lru_cache(maxsize=4)
+def chunks_of(path: str, pattern: str) -> Chunks:
+    """One for each Python worker, which keeps what it has learnt between tasks."""
+    return Chunks(json_encoder(path, pattern))
+
+
 def pack(lengths: list[int], length: int = LENGTH, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
     """(document, start, size, sequence, offset) of each piece; sequences from 0, all full or of a power of two."""
     out, n_seq, queue = [], 0, []
@@ -87,9 +95,10 @@ def pack(lengths: list[int], length: int = LENGTH, linear: float = LINEAR, quadr
 
 def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 0, length: int = LENGTH, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """One row for each piece, with its ids (little-endian unsigned 32-bit integers)."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = Chunks(json_encoder(path, pattern))
+        coder = chunks_of(path, pattern)
         base, held, tokens = (TaskContext.get().partitionId() << 33), [], 0
         end = np.array([end_id], np.uint32)
 

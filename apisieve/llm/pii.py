@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import small_batches
+
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[str, int, int]
 
@@ -191,6 +193,7 @@ def joined(spans: list[Span]) -> str:
 
 def find_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds ``base_spans`` and ``spans``: ``kind:start:end``, comma-joined."""
+    small_batches(docs.sparkSession)
 
     @pandas_udf("struct<base:string,spans:string>")
     def find(texts: pd.Series) -> pd.DataFrame:
@@ -213,6 +216,7 @@ def redact_text(text: str, spans: str) -> str:
 
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with their spans replaced; null texts stay null."""
+    small_batches(docs.sparkSession)
 
     @pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

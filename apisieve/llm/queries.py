@@ -123,12 +123,12 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer("byte_bpe_multi_50k.tiktoken")
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern()).select("doc_id", "ids")
+    coded = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern())
     return coded.select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(bpe.decode(F.col("ids"), path), 256).alias("decoded_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
 

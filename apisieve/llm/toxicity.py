@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .common import small_batches
+
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 2000, 4500, 40_000
 WINDOW, LEVEL, GRAM = 10, 3, 5
 TOXIC_BYTES, ORDINARY_BYTES = 8_000, 24_000
@@ -163,6 +165,7 @@ def labelled(docs: DataFrame, labels: DataFrame, allowed) -> list[tuple[str, int
 
 def score_documents(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """Adds ``score`` and ``predicted``."""
+    small_batches(docs.sparkSession)
 
     @pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
