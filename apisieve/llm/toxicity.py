@@ -59,17 +59,10 @@ def grams(word: str) -> set[str]:
 
 def marks(toxic: list[str], ordinary: list[str]) -> set[str]:
     """N-grams that set toxic texts apart."""
-    known: dict[str, set[str]] = {}
-
-    def of(word: str) -> set[str]:
-        if word not in known:
-            known[word] = grams(word)
-        return known[word]
-
     def counted(texts: list[str]) -> Counter:
         n: Counter = Counter()
         for t in texts:
-            n.update(set().union(*map(of, set(words(t)))))
+            n.update(set().union(*map(grams, set(words(t)))))
         return n
 
     in_toxic, in_ordinary = counted(toxic), counted(ordinary)
@@ -79,7 +72,7 @@ def marks(toxic: list[str], ordinary: list[str]) -> set[str]:
     for t in toxic:
         w = ["", *words(t), ""]
         for before, word, after in zip(w, w[1:], w[2:], strict=False):
-            for g in of(word) & odds:
+            for g in grams(word) & odds:
                 contexts[g].add(zlib.crc32(f"{before} {after}".encode("utf-8", "replace")))
     return {g for g, c in contexts.items() if len(c) >= MIN_CONTEXTS}
 
