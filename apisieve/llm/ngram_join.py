@@ -7,10 +7,11 @@ first order is an index: its prefix tokens are the join keys. Candidates must sh
 prefix tokens under each of the other orders too; only what passes all of them, and
 the length filter, is verified on the whole texts.
 
-Orders put rare tokens first. How rare is read off a count sketch of 2**SKETCH_BITS
-counters over all documents (of fixed size, so it may be broadcast); the orders differ
-in the hash that ranks tokens of like rarity. The sketch only steers the order, so its
-collisions cost candidates, never links.
+Orders put rare tokens first. The counts of the frequent tokens come from all documents:
+every task adds up its own, those it met twice or more are summed, and the most frequent
+ones, HEAVY at most (a fixed bound, so they may be broadcast), are ranked by count; all
+other tokens are rare. The orders differ in the hash that ranks tokens of like count. The
+counts only steer the orders, so what they miss costs candidates, never links.
 
 Equal sets are one class from the start. Within a token's group, candidates come in
 two rounds: first each member with the group's smallest member (a row each), then,
@@ -36,11 +37,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import cut
+from .common import cut, small_batches
 from .components import components
 
 WORDS, PERCENT = 3, 90
-SKETCH_BITS, BLOCK_BITS = 20, 14
+#: Tokens with a rank of their own, at most; tokens that a task counts at a time.
+HEAVY, COUNTED = 1_000_000, 4_000_000
 #: Up to so many ids (8 bytes each) are broadcast; more are joined by shuffling.
 BROADCAST_IDS = 2_000_000
 
@@ -84,37 +86,51 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
-def _sketch(docs: DataFrame, size: int) -> np.ndarray:
-    """Rarity class of each counter: half-steps of the logarithm of the shingles counted there."""
-    blocks = 1 << (SKETCH_BITS - BLOCK_BITS)
+def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent tokens, sorted, and their count classes (quarter-steps of the logarithm)."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, total = WordHash(), np.zeros(1 << SKETCH_BITS, np.uint32)
-        for batch in batches:
-            sets = [shingles(t, words, size) for t in batch["text"]]
-            if sets:
-                total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-        small = total.astype(np.uint16) if total.max() < 1 << 16 else total
-        yield pd.DataFrame({"block": range(blocks), "counts": [x.tobytes() for x in np.split(small, blocks)]})
-
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, data in zip(batch["block"], batch["counts"], strict=True):
-                x = np.frombuffer(data, np.uint16 if len(data) == 2 << BLOCK_BITS else np.uint32).astype(np.float64)
-                held[block] = held.get(block, 0) + x
-        for block, x in held.items():
-            yield pd.DataFrame({"block": [block], "counts": [np.floor(2 * np.log2(1 + x)).astype(np.uint8).tobytes()]})
-
-    kind = "block int, counts binary"
-    merged = docs.select("text").mapInPandas(count, kind).repartition(blocks // 4, "block").mapInPandas(merge, kind)
-    rows = {r.block: r.counts for r in merged.collect()}  # 2**SKETCH_BITS bytes, whatever the input
-    return np.concatenate([np.frombuffer(rows.get(b, b"\0" * (1 << BLOCK_BITS)), np.uint8) for b in range(blocks)])
+        words, held, n = WordHash(), [], 0
 
+        def counted() -> pd.DataFrame:
+            token, times = np.unique(np.concatenate(held), return_counts=True)
+            some = times > 1
+            return pd.DataFrame({"token": token[some].view(np.int64), "n": times[some]})
 
-def _sets(docs: DataFrame, rarity: np.ndarray, size: int, percent: int) -> DataFrame:
+        for batch in batches:
+            held += [shingles(t, words, size) for t in batch["text"]]
+            n += sum(map(len, held[-len(batch) :])) if len(batch) else 0
+            if n >= COUNTED:
+                yield counted()
+                held, n = [], 0
+        if n:
+            yield counted()
+
+    total = docs.select("text").mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    total = cut(total.select("token", F.floor(4 * F.log2("n")).cast("int").alias("rank")), "jaccard-frequent")
+    room, least = HEAVY, 1 << 30
+    for r in total.groupBy("rank").count().orderBy(F.col("rank").desc()).collect():  # some hundred classes
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r["rank"]
+    top = total.filter(F.col("rank") >= least).toArrow()  # HEAVY rows at most
+    token, rank = (top[c].to_numpy().astype(np.int64) for c in ("token", "rank"))
+    token = token.view(np.uint64)
+    order = np.argsort(token)
+    return token[order], np.minimum(rank[order] + 1, 255).astype(np.uint8)
+
+
+def _rank(h: np.ndarray, token: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    if not len(token):
+        return np.zeros(len(h), np.uint64)
+    at = np.minimum(np.searchsorted(token, h), len(token) - 1)
+    return np.where(token[at] == h, rank[at], 0).astype(np.uint64)
+
+
+def _sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int, percent: int) -> DataFrame:
     """doc_id, n, d1, d2 (digest of the set), p1 (prefix of the index order), p2, p3 (of the others, 32 bits a token)."""
-    shared = docs.sparkSession.sparkContext.broadcast(rarity)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)
     kind = T.StructType(
         [T.StructField(c, T.LongType()) for c in ("doc_id", "n", "d1", "d2")]
         + [T.StructField("p1", T.ArrayType(T.LongType()))]
@@ -122,12 +138,12 @@ def _sets(docs: DataFrame, rarity: np.ndarray, size: int, percent: int) -> DataF
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words, rare = WordHash(), shared.value
+        words, (token, ranks) = WordHash(), shared.value
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 h = shingles(text, words, size)
-                n, rank = len(h), rare[(h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)
+                n, rank = len(h), _rank(h, token, ranks) << np.uint64(56)
                 k = prefix_length(n, percent) if n else 0
                 digest = xxhash.xxh3_128_intdigest(h.tobytes())
                 own = []
@@ -145,16 +161,23 @@ def _sets(docs: DataFrame, rarity: np.ndarray, size: int, percent: int) -> DataF
     return docs.select("doc_id", "text").mapInPandas(run, kind)
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    """The documents of pairs (a, b); to be broadcast if they are few enough."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _near(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, percent: int, name: str) -> tuple[DataFrame, DataFrame]:
     """Of candidate pairs (a, b): those that pass all orders, and of these the links."""
+    pairs = cut(pairs, f"{name}-pairs")
+    some = _ids(pairs)
+    sets = sets.join(some, "doc_id", "left_semi")
     for side in ("a", "b"):
         own = sets.select(F.col("doc_id").alias(side), F.col("p2").alias(f"{side}2"), F.col("p3").alias(f"{side}3"))
         pairs = pairs.join(own, side)
     passed = pairs.filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
     passed = cut(passed, f"{name}-passed")
-    ids = passed.select(F.col("a").alias("doc_id")).unionByName(passed.select(F.col("b").alias("doc_id"))).distinct()
-    hint = F.broadcast if ids.count() <= BROADCAST_IDS else (lambda df: df)
-    texts = docs.join(hint(ids), "doc_id", "left_semi").distinct()
+    texts = docs.join(_ids(passed), "doc_id", "left_semi").distinct()
     both = passed.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,8 +201,9 @@ def _near(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, percent
 
 def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, name: str = "jaccard") -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) of every row."""
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = cut(_sets(docs, _sketch(docs, size), size, percent), f"{name}-sets")
+    sets = cut(_sets(docs, _frequent(docs, size), size, percent), f"{name}-sets")
     light = sets.select("doc_id", "n", "d1", "d2")
     classes = light.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
     classes = cut(classes, f"{name}-classes")
