@@ -5,7 +5,8 @@ Jaccard likeness of at least PERCENT share a token within their prefixes of
 ``n - ceil(PERCENT * n / 100) + 1`` tokens, under *any* one order of all tokens. The
 first order is an index: its prefix tokens are the join keys. Candidates must share
 prefix tokens under each of the other orders too; only what passes all of them, and
-the length filter, is verified on the whole texts.
+the length filter and a bound on the differences (parities of the sets' tokens in 512
+places differ in no more places than the sets do), is verified on the whole texts.
 
 Orders put rare tokens first. The counts of the frequent tokens come from all documents:
 every task adds up its own, those it met twice or more are summed, and the most frequent
@@ -14,10 +15,11 @@ other tokens are rare. The orders differ in the hash that ranks tokens of like c
 counts only steer the orders, so what they miss costs candidates, never links.
 
 Equal sets are one class from the start. Within a token's group, candidates come in
-two rounds: first each member with the group's smallest member (a row each), then,
-after these links are contracted, pairs of members of different components. Large
-groups of copies are joined up in the first round and have no pairs left in the second,
-and no link between components is lost: links inside one component change nothing.
+two rounds: first each member with PIVOTS pivots of the group (its smallest member and
+those of least hash, which groups of the same documents agree on), then, after these
+links are contracted, pairs of members of different components. Large groups of copies
+are joined up in the first round and have few pairs left in the second, and no link
+between components is lost: links inside one component change nothing.
 
 Defined cases: null texts and texts without words have no shingles and no links; a
 text with fewer words than a shingle is one shingle; rows of one doc_id are one
@@ -28,14 +30,15 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from .common import cut, small_batches
 from .components import components
@@ -43,6 +46,10 @@ from .components import components
 WORDS, PERCENT = 3, 90
 #: Tokens with a rank of their own, at most; tokens that a task counts at a time.
 HEAVY, COUNTED = 1_000_000, 4_000_000
+#: Members of a token's group that all others are compared with in the first round.
+PIVOTS = 6
+#: Parities of a set's tokens, by the low bits of their hashes.
+BITS = tuple(f"bits{k}" for k in range(8))
 #: Up to so many ids (8 bytes each) are broadcast; more are joined by shuffling.
 BROADCAST_IDS = 2_000_000
 
@@ -135,6 +142,7 @@ def _sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int, p
         [T.StructField(c, T.LongType()) for c in ("doc_id", "n", "d1", "d2")]
         + [T.StructField("p1", T.ArrayType(T.LongType()))]
         + [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("p2", "p3")]
+        + [T.StructField(c, T.LongType()) for c in BITS]
     )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -151,7 +159,9 @@ def _sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int, p
                     key = rank | (mix(h, order) >> np.uint64(8))
                     own.append(h[np.argpartition(key, k - 1)[:k]] if 0 < k < n else h[:k])
                 low = [x.astype(np.uint32).view(np.int32) for x in own[1:]]
-                rows.append((doc_id, n, digest & (2**64 - 1), digest >> 64, own[0].view(np.int64), *low))
+                odd = np.bincount((h & np.uint64(64 * len(BITS) - 1)).astype(np.int64), minlength=64 * len(BITS)) & 1
+                bits = np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+                rows.append((doc_id, n, digest & (2**64 - 1), digest >> 64, own[0].view(np.int64), *low, *bits))
             frame = pd.DataFrame(rows, columns=kind.names)
             frame["doc_id"] = pd.array([None if pd.isna(x) else int(x) for x in batch["doc_id"]], dtype="Int64")
             for c in ("d1", "d2"):
@@ -161,6 +171,13 @@ def _sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int, p
     return docs.select("doc_id", "text").mapInPandas(run, kind)
 
 
+def _may_link(x: str, y: str, percent: int) -> Column:
+    """Whether two sets can be alike enough by their parities: these differ in no more
+    places than the sets do, and alike sets differ in few. ``x`` and ``y`` end column names."""
+    apart = reduce(add, [F.bit_count(F.col(b + x).bitwiseXOR(F.col(b + y))) for b in BITS])
+    return apart * (100 + percent) <= (F.col("n" + x) + F.col("n" + y)) * (100 - percent)
+
+
 def _ids(pairs: DataFrame) -> DataFrame:
     """The documents of pairs (a, b); to be broadcast if they are few enough."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
@@ -173,9 +190,9 @@ def _near(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, percent
     some = _ids(pairs)
     sets = sets.join(some, "doc_id", "left_semi")
     for side in ("a", "b"):
-        own = sets.select(F.col("doc_id").alias(side), F.col("p2").alias(f"{side}2"), F.col("p3").alias(f"{side}3"))
+        own = sets.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("p2", "p3", "n", *BITS)])
         pairs = pairs.join(own, side)
-    passed = pairs.filter(F.arrays_overlap("a2", "b2") & F.arrays_overlap("a3", "b3")).select("a", "b")
+    passed = pairs.filter(_may_link("_a", "_b", percent) & F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b")
     passed = cut(passed, f"{name}-passed")
     texts = docs.join(_ids(passed), "doc_id", "left_semi").distinct()
     both = passed.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
@@ -211,22 +228,27 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
 
     postings = heads.select(F.explode("p1").alias("token"), F.col("doc_id").alias("id"), "n")
     group = Window.partitionBy("token")
-    postings = postings.select("*", F.count("*").over(group).alias("k"), F.min(F.struct("n", "id")).over(group).alias("least"))
-    postings = cut(postings.filter("k > 1").select("token", "id", "n", F.col("least.id").alias("pivot"), F.col("least.n").alias("pivot_n")), f"{name}-postings")
+    keys = [F.col("n").cast("long"), *[F.xxhash64("id", F.lit(k)) for k in range(PIVOTS - 1)]]
+    pivots = [F.min(F.struct(key.alias("key"), F.col("id").alias("id"), F.col("n").alias("n"))).over(group) for key in keys]
+    postings = postings.select("*", F.count("*").over(group).alias("k"), F.array(*pivots).alias("pivots"))
+    postings = cut(postings.filter("k > 1").select("token", "id", "n", "pivots"), f"{name}-postings")
 
     def ordered(x: str, y: str) -> list:
         return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
     fits = f"100 * least(n, {{0}}) >= {percent} * greatest(n, {{0}})"
-    first = postings.filter(f"id <> pivot AND {fits.format('pivot_n')}").select(*ordered("id", "pivot")).distinct()
+    starred = postings.select("id", "n", F.explode("pivots").alias("p")).select("id", "n", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
+    first = starred.filter(f"id <> pivot AND {fits.format('pivot_n')}").select(*ordered("id", "pivot")).distinct()
     passed, links = _near(docs, heads, first, size, percent, f"{name}-1")
 
     at = components(links, f"{name}-stars")
-    labelled = postings.join(at.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("comp"))
+    labelled = postings.select("token", "id", "n").join(at.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("comp"))
     mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     labelled = cut(labelled.join(mixed, "token", "left_semi"), f"{name}-mixed")
-    other = labelled.select("token", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"))
-    second = labelled.join(other, "token").filter(f"id < id2 AND comp <> comp2 AND {fits.format('n2')}").select(*ordered("id", "id2")).distinct()
+    labelled = cut(labelled.join(heads.select(F.col("doc_id").alias("id"), *BITS), "id"), f"{name}-mixed-bits")
+    other = labelled.select("token", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), *[F.col(b).alias(f"{b}2") for b in BITS])
+    meet = F.expr(f"id < id2 AND comp <> comp2 AND {fits.format('n2')}") & _may_link("", "2", percent)
+    second = labelled.join(other, "token").filter(meet).select(*ordered("id", "id2")).distinct()
     second = second.join(passed, ["a", "b"], "left_anti")
     _, more = _near(docs, heads, second, size, percent, f"{name}-2")
 
