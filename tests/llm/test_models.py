@@ -43,6 +43,7 @@ def test_toxicity_learns(spark):
 
 def test_language_model(spark, monkeypatch):
     monkeypatch.setattr(lbl, "TOP", 300)  # most words go by the join
+    monkeypatch.setattr(lbl, "STEPS", 400)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     rows = [(r.doc_id, r.text) for r in docs[:300]] + [(5000, None), (5001, ""), (None, "the of"), (0, docs[0].text)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int")
@@ -74,7 +75,8 @@ def test_language_model(spark, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_class_model_is_normalised():
+def test_class_model_is_normalised(monkeypatch):
+    monkeypatch.setattr(lbl, "STEPS", 400)
     rng = np.random.default_rng(1)
     counts = rng.poisson(0.05, (lbl.CLASSES,) * 3)
     counts[:, :, 3] += 2
