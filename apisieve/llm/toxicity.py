@@ -1,9 +1,11 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained on labelled texts: an ordinary one on windows
-of ordinary documents, and a toxic one on the contexts that set toxic documents apart
-(words holding character n-grams of high log-odds that stand in many different
-contexts, so that copies of one document don't count as evidence). The toxic side
+Two zstandard dictionaries of raw content are learnt from labelled texts: an ordinary
+one of the words most frequent in ordinary documents, and a toxic one of the words most
+frequent among those that set toxic documents apart (they hold character n-grams of high
+log-odds that stand in many different contexts, so that copies of one document don't
+count as evidence). Contents are chosen by frequency, not by zstandard's own trainer.
+The toxic side
 compresses with the toxic dictionary before the ordinary one, the ordinary side with
 the ordinary one alone, so a window's two lengths differ by what only toxic text
 explains. Windows of WINDOW words cover the whole text. A logistic calibration,
@@ -37,7 +39,7 @@ from pyspark.sql.functions import pandas_udf
 from .common import small_batches
 
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 2000, 4500, 40_000
-WINDOW, LEVEL, GRAM = 10, 3, 5
+WINDOW, LEVEL, GRAM = 10, 9, 5
 TOXIC_BYTES, ORDINARY_BYTES = 8_000, 24_000
 MIN_CONTEXTS, MIN_ODDS = 15, 2.5
 THRESHOLD, ORDINARY_WEIGHT, FITTED = 0.7, 2.0, 0.3
@@ -106,14 +108,9 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def _trained(size: int, samples: list[bytes], counted: Counter) -> bytes:
-    """A zstandard dictionary's content; where there is too little to train on, the most frequent words."""
-    try:
-        content = zstandard.train_dictionary(size, samples).as_bytes()
-    except zstandard.ZstdError:
-        content = b""
-    fill = f" {' '.join(w for w, _ in reversed(counted.most_common(4000)))} ".encode("utf-8", "replace")
-    return (content + fill)[-size:]
+def _content(size: int, counted: Counter) -> bytes:
+    """A raw-content dictionary: the most frequent words, the most frequent last, where matches are cheapest."""
+    return f" {' '.join(w for w, _ in reversed(counted.most_common(4000)))} ".encode("utf-8", "replace")[-size:]
 
 
 def train(rows: list[tuple[str | None, int]]) -> Model | None:
@@ -126,12 +123,7 @@ def train(rows: list[tuple[str | None, int]]) -> Model | None:
     found = marks(toxic, ordinary)
     telling = [w for t in toxic for w in words(t) if not found.isdisjoint(grams(w))]
     common = Counter(w for t in ordinary for w in words(t))
-    some = [x for t in ordinary for x in windows(t)]
-    model = Model(
-        _trained(TOXIC_BYTES, [f" {w} ".encode("utf-8", "replace") for w in telling], Counter(telling)),
-        _trained(ORDINARY_BYTES, some[:: max(1, len(some) // 50_000)], common),
-        *[np.zeros(0)] * 3,
-    )
+    model = Model(_content(TOXIC_BYTES, Counter(telling)), _content(ORDINARY_BYTES, common), *[np.zeros(0)] * 3)
     features = model.scorer()
     x = np.array([features(t) for y in (0, 1) for t in texts[y][cut[y] :]], dtype=np.float64)
     y = np.repeat([0.0, 1.0], [len(texts[k]) - cut[k] for k in (0, 1)])
