@@ -33,8 +33,8 @@ def _canonical(chain: str) -> str:
     return rest if dot and head in GLOBAL_OBJECTS else chain
 
 
-def entries(facts: DataFrame) -> DataFrame:
-    """(fact columns, index, key): the facts' inverted-list entries, one row each."""
+def entries(facts: DataFrame, wanted: set[str] | None = None) -> DataFrame:
+    """(fact columns, index, key): the facts' inverted-list entries, one row each; only of the wanted indexes, if given."""
     c = F.col
     both = lambda m, n: F.concat(m, F.lit("|"), n)
     at = lambda kind: c("kind") == kind
@@ -65,7 +65,7 @@ def entries(facts: DataFrame) -> DataFrame:
         (at("import"), "import_literal", c("module")),
         (at("import"), "import_package_specifier", root),
     ]
-    slots = F.array(*[F.when(F.coalesce(test, F.lit(False)) & key.isNotNull(), F.struct(F.lit(index).alias("index"), key.alias("key"))) for test, index, key in made])
+    slots = F.array(*[F.when(F.coalesce(test, F.lit(False)) & key.isNotNull(), F.struct(F.lit(index).alias("index"), key.alias("key"))) for test, index, key in made if wanted is None or index in wanted])
     return facts.withColumn("entry", F.explode(F.array_compact(slots))).select(*facts.columns, "entry.index", "entry.key")
 
 
@@ -85,7 +85,7 @@ def scan(facts: DataFrame, roots: Sequence[Root]) -> DataFrame:
     if keyed:
         rows = [(n, r.rule_id, r.evidence, r.symbol, r.index, join_key(r)) for n, r in keyed]
         plan = facts.sparkSession.createDataFrame(rows, "root int, rule_id string, evidence string, symbol string, index string, key string")
-        found = entries(facts).join(F.broadcast(plan), ["index", "key"])
+        found = entries(facts, {r.index for _, r in keyed}).join(F.broadcast(plan), ["index", "key"])
         for n, r in keyed:
             if r.args:
                 found = found.filter((F.col("root") != n) | all_hold(F.col("args"), r.args))
