@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from apisieve.llm import common, ngram_join, packing, pii, queries, toxicity
 
 DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
+#: Near copies share PERCENT of their distinct shingles of WORDS words (op9's own query keeps its 3 and 90).
+WORDS, PERCENT = 5, 80
 #: SQL can express none of the stages' models; they are tested against brute force.
 ORACLE_SQL = None
 
@@ -25,7 +27,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents the one of least id; of rows that repeat an id, one.
     Rows without an id stay."""
-    groups = ngram_join.jaccard_components(docs, name="pipeline-jaccard")
+    groups = ngram_join.jaccard_components(docs, size=WORDS, percent=PERCENT, name="pipeline-jaccard")
     groups = common.cut(groups, "pipeline-groups")
     kept = groups.filter("doc_id = component_id").groupBy("doc_id").count()
     size = kept.agg(F.count("*").alias("n"), F.max("count").alias("most")).first()
