@@ -84,3 +84,14 @@ def test_class_model_is_normalised(monkeypatch):
     assert np.allclose(np.exp(table).sum(-1), 1)
     assert (table.argmax(-1) == 3).mean() > 0.9
     assert np.allclose(np.exp(lbl.train(np.zeros_like(counts))).sum(-1), 1)
+
+
+def test_training_takes_every_counted_triple(monkeypatch):
+    monkeypatch.setattr(lbl, "STEPS", 200)
+    counts = np.zeros((lbl.CLASSES,) * 3, np.int64)
+    counts[1, 2, 3] = counts[1, 4, 7] = 5 * 10**11
+    rare = [(k, k + 40, 3 if k % 2 else 7) for k in range(10, 30)]
+    for k in rare:
+        counts[k] = 10**5  # one in 10**7: few of a fixed number of draws meet them
+    table = lbl.train(counts)
+    assert all(table[one, two].argmax() == target for one, two, target in rare)
