@@ -7,7 +7,7 @@ modules, ranges, graphs or texts.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import functions as fn
@@ -460,10 +460,23 @@ def edge_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def export_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Own and star exports over a small module graph with a cycle."""
-    own = table(spark, sf_dir, "part").filter("p_partkey <= 40").select((F.col("p_partkey") % 8).alias("module"), F.col("p_brand").alias("name"), F.col("p_type").alias("target")).groupBy("module", "name").agg(F.min("target").alias("target"))
-    stars = table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("module"), ((F.col("r_regionkey") + 1) % 5).cast("long").alias("source"))
-    return graph.resolve_exports(own, stars, rounds=8)
+    """Own exports of every part; each supplier re-exports the parts it sells, each nation its suppliers,
+    each region its nations and, in a cycle, the next region."""
+
+    def module(kind: str, key: str) -> Column:
+        return F.concat(F.lit(f"{kind}:"), F.col(key).cast("string"))
+
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    name = F.concat_ws(" ", "p_name", "p_type", F.col("p_size").cast("string"))
+    own = table(spark, sf_dir, "part").select(module("part", "p_partkey").alias("module"), name.alias("name"), F.col("p_brand").alias("target"))
+    stars = table(spark, sf_dir, "lineitem").select(module("supplier", "l_suppkey").alias("module"), module("part", "l_partkey").alias("source"))
+    stars = stars.unionByName(table(spark, sf_dir, "supplier").select(module("nation", "s_nationkey").alias("module"), module("supplier", "s_suppkey").alias("source")))
+    stars = stars.unionByName(nation.select(module("region", "n_regionkey").alias("module"), module("nation", "n_nationkey").alias("source")))
+    n = region.count()
+    after = F.concat(F.lit("region:"), ((F.col("r_regionkey") + 1) % n).cast("string"))
+    stars = stars.unionByName(region.select(module("region", "r_regionkey").alias("module"), after.alias("source")))
+    # Three levels, then round the cycle: a target comes, and may turn ambiguous later, once round each.
+    return graph.resolve_exports(own, graph.cut(stars.distinct()), rounds=3 + 2 * n + 1)
 
 
 # reports ------------------------------------------------------------------------------------------
