@@ -4,7 +4,8 @@ Base patterns run on the text as it is. Then transducers rewrite disguises, each
 keeping for every character it emits the source characters it came from:
 
 1. fold: compatibility forms and look-alike letters to ASCII, invisible characters dropped;
-2. spell: runs of spelled digits (with spelled dot, plus, dash) to digits;
+2. spell: runs of spelled digits (with spelled dot, plus, dash) to digits, first the
+   runs of three digits or more, then all, also those with one spelled sign only;
 3. join: ``[at]``, ``(dot)``, `` at ... dot ...`` to ``@`` and ``.``.
 
 The base patterns run again on what comes out, and the spans found are mapped back.
@@ -133,12 +134,13 @@ def fold(m: Mapped) -> None:
     m.rewrite(edits)
 
 
-def spell(m: Mapped) -> None:
+def spell(m: Mapped, least: int) -> None:
+    """Rewrites the runs of at least so many spelled items."""
     edits = []
     for run in SPELLED.finditer(m.text):
         items = [(x.start(), x.end(), x[0]) for x in ITEM.finditer(m.text, run.start(), run.end())]
-        words = [x for x in items if x[2].lower() in DIGIT_WORDS]
-        if len(words) < 3:
+        words = [x for x in items if x[2].lower() in DIGIT_WORDS or least < 3 and x[2].lower() in SIGN_WORDS]
+        if len(words) < least:
             continue
         for k, (a, b, t) in enumerate(items):
             new = DIGIT_WORDS.get(t.lower()) or SIGN_WORDS.get(t.lower()) or ("" if not t.strip(" \t\n,-") else t)
@@ -163,7 +165,8 @@ def disguised(text: str) -> bool:
     if any(c in text for c in "[({<") and BRACKETED.search(text):
         return True
     low = text.lower()
-    return " dot " in low or not DIGIT_WORDS.keys().isdisjoint(low.replace("-", " ").replace(",", " ").split()) and bool(SPELLED.search(text))
+    words = low.replace("-", " ").replace(",", " ").split()
+    return " dot " in low or not (DIGIT_WORDS.keys().isdisjoint(words) and SIGN_WORDS.keys().isdisjoint(words)) and bool(SPELLED.search(text))
 
 
 def all_spans(text: str) -> tuple[list[Span], list[Span]]:
@@ -171,19 +174,23 @@ def all_spans(text: str) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     if not disguised(text):
         return base, []
-    m = Mapped(text)
-    fold(m)
-    spell(m)
-    join(m)
-    if m.text == text:
-        return base, []
-    taken = sorted((a, b) for _, a, b in base)
-    added = []
-    for kind, a, b in base_spans(m.text):
-        a, b = m.starts[a], m.ends[b - 1]
-        k = bisect_left(taken, (b, 0))
-        if not (k and taken[k - 1][1] > a):
-            added.append((kind, a, b))
+    added: list[Span] = []
+    before = text
+    # Long runs first: a lone word beside an identifier ("10[dot]0[dot]0[dot]99 five days") mustn't hide it.
+    for least in (3, 1):
+        m = Mapped(text)
+        fold(m)
+        spell(m, least)
+        join(m)
+        if m.text == before:
+            continue
+        before = m.text
+        taken = sorted((a, b) for _, a, b in base + added)
+        for kind, a, b in base_spans(m.text):
+            a, b = m.starts[a], m.ends[b - 1]
+            k = bisect_left(taken, (b, 0))
+            if not (k and taken[k - 1][1] > a):
+                added.append((kind, a, b))
     return base, added
 
 
