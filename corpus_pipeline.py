@@ -25,17 +25,28 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of least id; of rows that repeat an id, one.
-    Rows without an id stay."""
-    groups = ngram_join.jaccard_components(docs, size=WORDS, percent=PERCENT, name="pipeline-jaccard")
-    groups = common.cut(groups, "pipeline-groups")
-    kept = groups.filter("doc_id = component_id").groupBy("doc_id").count()
+    """Of each group of linked documents the one of least id; of rows that repeat an id and text, one.
+    Rows of one id with different texts are documents of their own. Rows without an id stay."""
+    named = docs.filter("doc_id IS NOT NULL")
+    texts = named.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi"))
+    shared = not texts.filter("lo <> hi").isEmpty()
+    key = F.xxhash64("doc_id", "text") if shared else F.col("doc_id").cast("long")
+    named = named.withColumn("key", key)
+    groups = ngram_join.jaccard_components(named.select(F.col("key").alias("doc_id"), "text"), size=WORDS, percent=PERCENT, name="pipeline-jaccard")
+    groups = common.cut(groups.select(F.col("doc_id").alias("key"), "component_id"), "pipeline-groups")
+    if shared:  # keys have no order of ids
+        ids = groups.distinct().join(named.select("key", "doc_id").distinct(), "key")
+        least = ids.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("least")).select("component_id", F.col("least.key").alias("key"))
+        groups = groups.join(least, ["component_id", "key"], "left_semi")
+    else:
+        groups = groups.filter("key = component_id")
+    kept = groups.groupBy("key").count()
     size = kept.agg(F.count("*").alias("n"), F.max("count").alias("most")).first()
     few = size["n"] <= ngram_join.BROADCAST_IDS
-    named = docs.join(F.broadcast(kept) if few else kept, "doc_id", "left_semi")
+    single = named.join(F.broadcast(kept) if few else kept, "key", "left_semi")
     if (size["most"] or 0) > 1:
-        named = named.dropDuplicates(["doc_id"])
-    return named.select(*DOCUMENT).unionByName(docs.filter("doc_id IS NULL").select(*DOCUMENT))
+        single = single.dropDuplicates(["key"])
+    return single.select(*DOCUMENT).unionByName(docs.filter("doc_id IS NULL").select(*DOCUMENT))
 
 
 def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

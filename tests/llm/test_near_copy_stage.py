@@ -38,3 +38,13 @@ def test_near_copies_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = kept_by_brute_force([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, SF).collect()) == want
+
+
+def test_repeated_ids_with_different_texts(spark):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{rng.randrange(10**9)}" for _ in range(60)) for _ in range(4)]
+    near = texts[0] + " more"
+    rows = [(7, texts[0]), (7, texts[1]), (7, texts[1]), (3, near), (9, texts[1]), (9, texts[2]), (8, texts[3]), (None, texts[0]), (5, None), (5, "")]
+    got = corpus_pipeline.drop_near_copies(spark, documents(spark, rows), SF).collect()
+    want = [(3, near), (5, ""), (5, None), (7, texts[1]), (8, texts[3]), (9, texts[2]), (None, texts[0])]
+    assert sorted((str(r.doc_id), str(r.text)) for r in got) == sorted((str(d), str(t)) for d, t in want)
