@@ -526,8 +526,11 @@ def page_script_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Script text through the front end, then a call query on the facts."""
     from .sources.javascript import facts_of
 
-    script = F.regexp_extract("html", r"(?s)<script[^>]*>(.*?)</script>", 1)
-    sources = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), script.alias("text"))
+    blocks = F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), 1)
+    pages = table(spark, sf_dir, "pages").select("page_id", F.posexplode(blocks).alias("block", "text"))
+    # Facts are numbered by source: a page's later blocks are sources of their own.
+    path = F.concat(F.col("page_id").cast("string"), F.when(F.col("block") > 0, F.concat(F.lit("#"), F.col("block").cast("string"))).otherwise(""))
+    sources = pages.select(path.alias("path"), "text")
     return run_rule(facts_of(sources), EventQuery.call_heuristic("track").with_arg(0, Value.any_value())).select("path", "fact_id", "symbol")
 
 

@@ -33,3 +33,12 @@ def test_export_resolution(spark):
     got = QUERIES["export_resolution"](spark, SF).collect()
     assert {(r.module, r.name): r.target for r in got} == want and len(got) == len(want)
     assert len({r.module for r in got if r.module.startswith("part:")}) == len(rows["part"])
+
+
+def test_every_script_block_of_a_page(spark, tmp_path):
+    html = ["<script>track(1)</script>", "<p>none</p>", "<script a='b'>\nother(5)</script><p><script>track(2)\ntrack(3)</script>", None]
+    rows = [(k, f"http://a/{k}", h) for k, h in enumerate(html)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = QUERIES["page_script_calls"](spark, str(tmp_path)).collect()
+    assert sorted(r.path for r in got) == ["0", "2#1", "2#1"]
+    assert len({(r.path, r.fact_id) for r in got}) == 3
