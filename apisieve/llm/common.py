@@ -37,7 +37,18 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._cut_path = path
+    return back
+
+
+def discard(*frames: DataFrame | None) -> None:
+    """Deletes the tables that ``cut`` wrote for these frames; nothing may read them any more."""
+    for df in frames:
+        path = getattr(df, "_cut_path", None)
+        if path is not None:
+            at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

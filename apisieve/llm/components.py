@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def _links(df: DataFrame) -> DataFrame:
@@ -28,7 +28,8 @@ def components(links: DataFrame, name: str = "links", rounds: int = 60) -> DataF
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = cut(_links(small.unionByName(low.select("a", F.col("m").alias("b")))), name)
+        last, now = now, cut(_links(small.unionByName(low.select("a", F.col("m").alias("b")))), name)
+        discard(last)
         row = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         before, state = state, (row["n"], row["h"])
         if state == before or not row["n"]:

@@ -14,12 +14,19 @@ ones, HEAVY at most (a fixed bound, so they may be broadcast), are ranked by cou
 other tokens are rare. The orders differ in the hash that ranks tokens of like count. The
 counts only steer the orders, so what they miss costs candidates, never links.
 
-Equal sets are one class from the start. Within a token's group, candidates come in
-two rounds: first each member with PIVOTS pivots of the group (its smallest member and
-those of least hash, which groups of the same documents agree on), then, after these
-links are contracted, pairs of members of different components. Large groups of copies
-are joined up in the first round and have few pairs left in the second, and no link
-between components is lost: links inside one component change nothing.
+Equal sets are one class from the start. Large groups of near copies are joined up before
+the index is met: in each of STARS rounds a set has a few keys (the least hashes in ranges
+of the hash space, which alike sets mostly share), and a key's members of other components
+than its pivots' are candidates with the pivots. Links found are contracted.
+
+Then the index. Postings (token, set, component, length, place in the prefix, folded
+parities) travel packed, a block for each task and range of tokens. A task that gets a
+range sorts it and meets, within each token, pairs of unlike components by length order,
+as long as the lengths allow a link; a pair is a candidate where the places of the shared
+token leave room for the overlap it needs, which holds at least at its first shared token.
+No link between components is lost: links inside one component change nothing. Tokens
+with many postings (GROUP) are cut into slices and each pair of slices is a group of its
+own. Memory is bounded by RANGE postings and, within a token, by its number of sets.
 
 Defined cases: null texts and texts without words have no shingles and no links; a
 text with fewer words than a shingle is one shingle; rows of one doc_id are one
@@ -36,22 +43,24 @@ from operator import add
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, small_batches
+from .common import cut, discard, small_batches
 from .components import components
 
 WORDS, PERCENT = 3, 90
 #: Tokens with a rank of their own, at most; tokens that a task counts at a time.
-HEAVY, COUNTED = 1_000_000, 4_000_000
-#: Members of a token's group that all others are compared with in the first round.
-PIVOTS = 6
+HEAVY, COUNTED = 1_000_000, 2_000_000
+#: Rounds of pivots, keys of a set in each of them, least hashes in a key, pivots of a key.
+STARS, KEYS, LEAST, PIVOTS = 2, 4, 2, 4
+#: Postings of a range of tokens; of a token's slice; that a task packs at a time.
+RANGE, GROUP, PACKED = 250_000, 4096, 250_000
 #: Parities of a set's tokens, by the low bits of their hashes.
 BITS = tuple(f"bits{k}" for k in range(8))
 #: Up to so many ids (8 bytes each) are broadcast; more are joined by shuffling.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 
 
 class WordHash(dict):
@@ -122,6 +131,7 @@ def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
             break
         least = r["rank"]
     top = total.filter(F.col("rank") >= least).toArrow()  # HEAVY rows at most
+    discard(total)
     token, rank = (top[c].to_numpy().astype(np.int64) for c in ("token", "rank"))
     token = token.view(np.uint64)
     order = np.argsort(token)
@@ -136,14 +146,17 @@ def _rank(h: np.ndarray, token: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int, percent: int) -> DataFrame:
-    """doc_id, n, d1, d2 (digest of the set), p1 (prefix of the index order), p2, p3 (of the others, 32 bits a token)."""
+    """doc_id, n, d1, d2 (digest of the set), p1 (prefix in the index order, packed), p2, p3 (of the others,
+    32 bits a token), keys (of least hashes of ranges), bits (parities)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     kind = T.StructType(
         [T.StructField(c, T.LongType()) for c in ("doc_id", "n", "d1", "d2")]
-        + [T.StructField("p1", T.ArrayType(T.LongType()))]
+        + [T.StructField("p1", T.BinaryType())]
         + [T.StructField(c, T.ArrayType(T.IntegerType())) for c in ("p2", "p3")]
+        + [T.StructField("keys", T.ArrayType(T.LongType()))]
         + [T.StructField(c, T.LongType()) for c in BITS]
     )
+    starts = np.array([k * (2**64 // (STARS * KEYS * LEAST)) for k in range(STARS * KEYS * LEAST)], np.uint64)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, (token, ranks) = WordHash(), shared.value
@@ -157,11 +170,16 @@ def _sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int, p
                 own = []
                 for order in (11, 12, 13):
                     key = rank | (mix(h, order) >> np.uint64(8))
-                    own.append(h[np.argpartition(key, k - 1)[:k]] if 0 < k < n else h[:k])
+                    some = np.sort(np.argpartition(key, k - 1)[:k]) if 0 < k < n else np.arange(k)
+                    own.append(h[some[np.argsort(key[some], kind="stable")] if order == 11 else some])
                 low = [x.astype(np.uint32).view(np.int32) for x in own[1:]]
+                keys = np.empty(0, np.int64)
+                if n:
+                    least = h[np.searchsorted(h, starts) % n].reshape(-1, LEAST)
+                    keys = reduce(lambda x, y: mix(x, 4) + y, least.T).view(np.int64)
                 odd = np.bincount((h & np.uint64(64 * len(BITS) - 1)).astype(np.int64), minlength=64 * len(BITS)) & 1
                 bits = np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
-                rows.append((doc_id, n, digest & (2**64 - 1), digest >> 64, own[0].view(np.int64), *low, *bits))
+                rows.append((doc_id, n, digest & (2**64 - 1), digest >> 64, own[0].tobytes(), *low, keys, *bits))
             frame = pd.DataFrame(rows, columns=kind.names)
             frame["doc_id"] = pd.array([None if pd.isna(x) else int(x) for x in batch["doc_id"]], dtype="Int64")
             for c in ("d1", "d2"):
@@ -178,85 +196,217 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return apart * (100 + percent) <= (F.col("n" + x) + F.col("n" + y)) * (100 - percent)
 
 
-def _ids(pairs: DataFrame) -> DataFrame:
-    """The documents of pairs (a, b); to be broadcast if they are few enough."""
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+def _fold() -> Column:
+    """Parities in 64 places."""
+    return reduce(Column.bitwiseXOR, [F.col(b) for b in BITS])
 
 
-def _near(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, percent: int, name: str) -> tuple[DataFrame, DataFrame]:
-    """Of candidate pairs (a, b): those that pass all orders, and of these the links."""
-    pairs = cut(pairs, f"{name}-pairs")
-    some = _ids(pairs)
-    sets = sets.join(some, "doc_id", "left_semi")
-    for side in ("a", "b"):
-        own = sets.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("p2", "p3", "n", *BITS)])
-        pairs = pairs.join(own, side)
-    passed = pairs.filter(_may_link("_a", "_b", percent) & F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b")).select("a", "b")
-    passed = cut(passed, f"{name}-passed")
-    texts = docs.join(_ids(passed), "doc_id", "left_semi").distinct()
-    both = passed.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y")), "b")
+def _few(df: DataFrame) -> DataFrame:
+    """To be broadcast if its rows (a few numbers each) are few enough; ``df`` is written already, or small to compute."""
+    return F.broadcast(df) if df.count() <= BROADCAST_IDS else df
+
+
+def _near(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, percent: int, name: str) -> DataFrame:
+    """Of candidate pairs (a, b; b is the side that repeats): the links."""
+    pairs = cut(pairs.distinct(), f"{name}-pairs")
+
+    def both(pairs: DataFrame, columns: tuple[str, ...], key: tuple[str, ...], passes: Column, step: str) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        some = sets.join(_few(ids), "doc_id", "left_semi").select("doc_id", *columns, *[c for c in key if c not in columns]).dropDuplicates(["doc_id", *key])
+        for side in ("a", "b"):
+            pairs = pairs.join(some.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
+        return cut(pairs.filter(passes).select("a", "b").distinct(), f"{name}-{step}")
+
+    like = both(pairs, ("n", *BITS), ("n", *BITS), _may_link("_a", "_b", percent), "like")
+    passed = both(like, ("p2", "p3"), ("n", *BITS), F.arrays_overlap("p2_a", "p2_b") & F.arrays_overlap("p3_a", "p3_b"), "passed")
+    texts = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    first = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x")).join(_few(passed), "a")
+    second = texts.join(_few(passed.select(F.col("b").alias("doc_id")).distinct()), "doc_id", "left_semi").select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = WordHash()
+        words, seen, last = WordHash(), None, np.empty(0, np.uint64)
         for batch in batches:
-            keep, kept = [], {}
+            keep = []
             for x, y in zip(batch["x"], batch["y"], strict=True):
-                for t in (x, y):
-                    if t not in kept:
-                        if len(kept) > 2000:
-                            kept.clear()
-                        kept[t] = shingles(t, words, size)
-                p, q = kept.get(x), kept[y]
-                p = shingles(x, words, size) if p is None else p
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(bool(common) and 100 * common >= percent * (len(p) + len(q) - common))
+                p = shingles(x, words, size)
+                if y != seen:
+                    seen, last = y, shingles(y, words, size)
+                common = len(np.intersect1d(p, last, assume_unique=True))
+                keep.append(bool(common) and 100 * common >= percent * (len(p) + len(last) - common))
             yield batch.loc[keep, ["a", "b"]]
 
-    return passed, cut(both.mapInPandas(verify, "a long, b long"), f"{name}-links")
+    links = cut(first.join(second, "b").select("a", "b", "x", "y").mapInPandas(verify, "a long, b long").distinct(), f"{name}-links")
+    discard(pairs, like, passed)
+    return links
+
+
+def _star(heads: DataFrame, at: DataFrame | None, k: int, percent: int) -> DataFrame:
+    """Candidates (a, pivot b) of round ``k``: members of a key whose component isn't the pivot's."""
+    keyed = heads.select(F.col("doc_id").alias("id"), "n", _fold().alias("fold"), F.explode(F.slice("keys", k * KEYS + 1, KEYS)).alias("key"))
+    if at is not None:
+        keyed = keyed.join(at.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "fold", "key", F.coalesce("component", "id").alias("comp"))
+    else:
+        keyed = keyed.withColumn("comp", F.col("id"))
+    pivots = [F.min(F.struct(F.xxhash64("id", "key", F.lit(j)).alias("h"), "id", "n", "fold", "comp")) for j in range(PIVOTS)]
+    mixed = cut(keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key"), "jaccard-mixed")
+    keyed = keyed.join(_few(mixed), "key", "left_semi")
+    pivots = keyed.groupBy("key").agg(F.array_distinct(F.array(*pivots)).alias("p"))
+    fits = "x -> x.comp <> comp AND 100 * least(n, x.n) >= {0} * greatest(n, x.n) AND bit_count(fold ^ x.fold) * (100 + {0}) <= (n + x.n) * (100 - {0})".format(percent)
+    return keyed.join(pivots, "key").select(F.col("id").alias("a"), F.explode(F.expr(f"filter(p, {fits})")).alias("p")).select("a", F.col("p.id").alias("b"))
+
+
+_COLUMNS = ("id", "comp", "n", "place", "side")
+
+
+def _pack(token: np.ndarray, fold: np.ndarray, rest: dict[str, np.ndarray]) -> bytes:
+    """Columns one after another; the small numbers by their bytes' places, which compresses to what they hold."""
+    packed = [np.array([len(token)], np.int64).tobytes(), token.tobytes(), fold.tobytes()]
+    packed += [rest[c].astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for c in _COLUMNS]
+    return b"".join(packed)
+
+
+def _unpack(block: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(block, np.int64, 1)[0])
+    wide = [np.frombuffer(block, np.uint64, n, 8 + 8 * n * k) for k in range(2)]
+    return wide + [np.ascontiguousarray(np.frombuffer(block, np.uint8, 8 * n, 8 + 8 * n * (2 + k)).reshape(8, n).T).view(np.int64).ravel() for k in range(len(_COLUMNS))]
+
+
+def _hot(heads: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> dict[int, int]:
+    """Slices of the tokens with more than GROUP postings: at most one for every GROUP of them."""
+    token = frequent[0][frequent[1] > 4 * np.log2(GROUP)]
+    if not len(token):
+        return {}
+    shared = heads.sparkSession.sparkContext.broadcast(token)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often, n = shared.value, np.zeros(len(shared.value), np.int64)
+        for batch in batches:
+            h = np.frombuffer(b"".join(batch["p1"]), np.uint64)
+            at = np.minimum(np.searchsorted(often, h), len(often) - 1)
+            n += np.bincount(at[often[at] == h], minlength=len(often))
+        yield pd.DataFrame({"token": often[n > 0].view(np.int64), "n": n[n > 0]})
+
+    total = heads.select("p1").mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > GROUP)
+    return {r.token & (2**64 - 1): -(-r.n // GROUP) for r in total.collect()}
+
+
+def _postings(heads: DataFrame, hot: dict[int, int], ranges: int) -> DataFrame:
+    """(range, block) of the prefix tokens of (doc_id, comp, n, p1, fold)."""
+    shared = heads.sparkSession.sparkContext.broadcast((np.array(sorted(hot), np.uint64), np.array([hot[t] for t in sorted(hot)], np.int64)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hot_token, slices = shared.value
+        held, n = [], 0
+
+        def blocks() -> pd.DataFrame:
+            frame = {c: np.concatenate([x[k] for x in held]) for k, c in enumerate(("token", "fold", *_COLUMNS))}
+            part = (mix(frame["token"], 5) % np.uint64(ranges)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            frame, part = {c: x[order] for c, x in frame.items()}, part[order]
+            cuts = [0, *(np.nonzero(part[1:] != part[:-1])[0] + 1).tolist(), len(part)]
+            rows = [(int(part[a]), _pack(frame["token"][a:b], frame["fold"][a:b], {c: frame[c][a:b] for c in _COLUMNS})) for a, b in zip(cuts, cuts[1:], strict=False)]
+            return pd.DataFrame(rows, columns=["range", "block"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            token = np.frombuffer(b"".join(batch["p1"]), np.uint64)
+            size = batch["p1"].map(len).to_numpy() // 8
+            ends = np.cumsum(size)
+            place = np.arange(len(token)) - np.repeat(ends - size, size)
+            own = [np.repeat(batch[c].to_numpy(), size) for c in ("doc_id", "comp", "n")]
+            own[1] = np.where(own[1] == own[0], 0, own[1] ^ own[0])  # mostly nothing, which compresses
+            row = [token, np.repeat(batch["fold"].to_numpy(), size).view(np.uint64), *own, place, np.zeros(len(token), np.int64)]
+            if len(hot_token):
+                at = np.minimum(np.searchsorted(hot_token, token), len(hot_token) - 1)
+                many = hot_token[at] == token
+                times = np.where(many, slices[at], 1)
+                index = np.repeat(np.arange(len(token)), times)
+                other = np.arange(len(index)) - np.repeat(np.cumsum(times) - times, times)
+                row, many, k = [x[index] for x in row], many[index], times[index]
+                mine = (mix(row[2].astype(np.uint64), 3) % k.astype(np.uint64)).astype(np.int64)
+                lo, hi = np.minimum(mine, other), np.maximum(mine, other)
+                row[0] = np.where(many, mix(row[0] ^ mix((lo * k + hi).astype(np.uint64), 9), 9), row[0])
+                row[6] = np.where(many & (lo != hi), 1 + (mine == hi), 0)
+            held.append(row)
+            n += len(row[0])
+            if n >= PACKED:
+                yield blocks()
+                held, n = [], 0
+        if n:
+            yield blocks()
+
+    return heads.select("doc_id", "comp", "n", "p1", "fold").mapInPandas(run, "range long, block binary")
+
+
+def _meet(percent: int):
+    """Candidates of a range: pairs of unlike components within a token."""
+
+    def run(blocks: pd.DataFrame) -> pd.DataFrame:
+        token, fold, ids, comp, n, place, side = (np.concatenate(x) for x in zip(*map(_unpack, blocks["block"]), strict=True))
+        comp = comp ^ ids
+        order = np.lexsort((n, token))
+        token, comp = token[order], comp[order]
+        start = np.nonzero(np.concatenate([[True], token[1:] != token[:-1]]))[0]
+        size = np.diff(np.append(start, len(token)))
+        mixed = np.repeat(np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start), size)
+        order, token, comp = order[mixed], token[mixed], comp[mixed]
+        fold, ids, n, place, side = (x[order] for x in (fold, ids, n, place, side))
+        found, alive, d = [], np.arange(len(token)), 0
+        while len(alive):  # the d-th next of each, as long as it has the token and a length that can link
+            d += 1
+            alive = alive[alive + d < len(token)]
+            alive = alive[(token[alive] == token[alive + d]) & (100 * n[alive] >= percent * n[alive + d])]
+            i, j = alive, alive + d
+            both = n[i] + n[j]
+            need = -(-percent * both // (100 + percent))
+            ok = (comp[i] != comp[j]) & (1 + np.minimum(n[i] - 1 - place[i], n[j] - 1 - place[j]) >= need)
+            ok &= (side[i] != side[j]) | (side[i] == 0)
+            i, j = i[ok], j[ok]
+            ok = np.bitwise_count(fold[i] ^ fold[j]).astype(np.int64) * (100 + percent) <= both[ok] * (100 - percent)
+            i, j = i[ok], j[ok]
+            if len(i):
+                found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
+                if sum(map(len, found)) > 2_000_000:
+                    found = [np.unique(np.concatenate(found), axis=0)]
+        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+        return pd.DataFrame(pairs, columns=["a", "b"])
+
+    return run
 
 
 def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, name: str = "jaccard") -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) of every row."""
     small_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = cut(_sets(docs, _frequent(docs, size), size, percent), f"{name}-sets")
+    frequent = _frequent(docs, size)
+    sets = cut(_sets(docs, frequent, size, percent), f"{name}-sets")
     light = sets.select("doc_id", "n", "d1", "d2")
-    classes = light.filter("n > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"))
-    classes = cut(classes, f"{name}-classes")
-    heads = sets.join(classes, (sets["d1"] == classes["d1"]) & (sets["d2"] == classes["d2"]) & (sets["doc_id"] == classes["rep"]), "left_semi")
-
-    postings = heads.select(F.explode("p1").alias("token"), F.col("doc_id").alias("id"), "n")
-    group = Window.partitionBy("token")
-    keys = [F.col("n").cast("long"), *[F.xxhash64("id", F.lit(k)) for k in range(PIVOTS - 1)]]
-    pivots = [F.min(F.struct(key.alias("key"), F.col("id").alias("id"), F.col("n").alias("n"))).over(group) for key in keys]
-    postings = postings.select("*", F.count("*").over(group).alias("k"), F.array(*pivots).alias("pivots"))
-    postings = cut(postings.filter("k > 1").select("token", "id", "n", "pivots"), f"{name}-postings")
-
-    def ordered(x: str, y: str) -> list:
-        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
-
-    fits = f"100 * least(n, {{0}}) >= {percent} * greatest(n, {{0}})"
-    starred = postings.select("id", "n", F.explode("pivots").alias("p")).select("id", "n", F.col("p.id").alias("pivot"), F.col("p.n").alias("pivot_n"))
-    first = starred.filter(f"id <> pivot AND {fits.format('pivot_n')}").select(*ordered("id", "pivot")).distinct()
-    passed, links = _near(docs, heads, first, size, percent, f"{name}-1")
-
-    at = components(links, f"{name}-stars")
-    labelled = postings.select("token", "id", "n").join(at.withColumnRenamed("node", "id"), "id", "left").select("token", "id", "n", F.coalesce("component", "id").alias("comp"))
-    mixed = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
-    labelled = cut(labelled.join(mixed, "token", "left_semi"), f"{name}-mixed")
-    labelled = cut(labelled.join(heads.select(F.col("doc_id").alias("id"), *BITS), "id"), f"{name}-mixed-bits")
-    other = labelled.select("token", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("comp").alias("comp2"), *[F.col(b).alias(f"{b}2") for b in BITS])
-    meet = F.expr(f"id < id2 AND comp <> comp2 AND {fits.format('n2')}") & _may_link("", "2", percent)
-    second = labelled.join(other, "token").filter(meet).select(*ordered("id", "id2")).distinct()
-    second = second.join(passed, ["a", "b"], "left_anti")
-    _, more = _near(docs, heads, second, size, percent, f"{name}-2")
+    known = light.filter("n > 0 AND doc_id IS NOT NULL")
+    classes = cut(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), f"{name}-classes")
+    copies = known.join(_few(classes.filter("members > 1").select("d1", "d2", "rep")), ["d1", "d2"]).filter("doc_id <> rep").select("doc_id", "d1", "d2").distinct()
+    copies = cut(copies, f"{name}-copies")
+    heads = sets.filter("n > 0 AND doc_id IS NOT NULL").join(_few(copies), ["doc_id", "d1", "d2"], "left_anti")
+
+    at, links = None, []
+    for k in range(STARS):
+        links.append(_near(docs, heads, _star(heads, at, k, percent), size, percent, f"{name}-star{k}"))
+        at = _few(components(reduce(DataFrame.unionByName, links), f"{name}-stars"))
+
+    placed = heads.select("doc_id", "n", "p1", _fold().alias("fold")).join(at.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = placed.select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "n", "p1", "fold")
+    total = heads.agg(F.sum(F.length("p1")).alias("n")).first()["n"] or 0
+    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 * RANGE)))
+    blocks = _postings(placed, _hot(heads, frequent), ranges)
+    met = blocks.groupBy("range").applyInPandas(_meet(percent), "a long, b long")
+    links.append(_near(docs, heads, met, size, percent, f"{name}-index"))
 
     # Classes that hold rows of one doc_id are one document's: link them too.
-    rows = light.filter("doc_id IS NOT NULL").join(classes, ["d1", "d2"]).select("doc_id", "rep")
+    rows = known.join(classes, ["d1", "d2"]).select("doc_id", "rep")
     repeated = rows.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo <> hi").select("doc_id")
-    same = rows.join(repeated, "doc_id").select(*ordered("doc_id", "rep"))
-    final = components(links.unionByName(more).unionByName(same), f"{name}-components")
+    same = rows.join(repeated, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    final = components(reduce(DataFrame.unionByName, [*links, same]), f"{name}-components")
+    discard(copies, *links)
     classes = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     rows = light.join(classes, ["d1", "d2"], "left")
     component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
