@@ -79,6 +79,67 @@ def test_vectors_small(spark, monkeypatch):
     assert lattice.near_vectors(df.limit(0)).count() == 0
 
 
+def test_null_ids_link_others(spark):
+    rng = np.random.default_rng(6)
+    x, step = rng.standard_normal(32), rng.standard_normal(32)
+    x, step = x / np.linalg.norm(x), step - (step @ x) * x / (x @ x)
+    step /= np.linalg.norm(step)
+    turned = lambda t: (np.cos(t) * x + np.sin(t) * step).tolist()
+    rows = [(5, turned(0.0), 1), (None, turned(0.3), 1), (9, turned(0.6), 1), (9, turned(0.6), 1), (None, turned(2.5), 1)]
+    got = lattice.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")).collect()
+    assert sorted((str(r.vec_id), r.n_links, r.component_id) for r in got) == [("5", 1, 5), ("9", 2, 5), ("9", 2, 5), ("None", 0, None), ("None", 3, 5)]
+
+
+def near_pairs(n, dim, cosine, rng):
+    u, v = rng.standard_normal((2, n, dim))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    v -= (v * u).sum(1)[:, None] * u
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    return u, cosine * u + np.sqrt(1 - cosine**2) * v
+
+
+def test_recall_and_pairs_met():
+    """Pairs just at the threshold meet in some cell, and unlike ones rarely, for all lengths and plans."""
+    rng = np.random.default_rng(7)
+    for dim in (16, 64, 384, 768):
+        for plan in lattice.PLANS[:4]:
+            u, v = near_pairs(400, dim, 0.93, rng)
+            a, b = (lattice.cells(x, np.ones(len(x), np.int64), plan) for x in (u, v))
+            met = np.zeros(len(u), bool)
+            for t in range(plan.tables):
+                met |= lattice._meet(a[:, t, 0], a[:, t, 1:], b[:, t, 0], b[:, t, 1:])
+            assert met.mean() >= 0.9, (dim, plan, met.mean())
+    shares = []
+    for n, plan in ((20_000, lattice.PLANS[0]), (40_000, lattice.PLANS[1])):
+        u, _ = near_pairs(n, 64, 0.93, rng)
+        keys = lattice.cells(u, np.ones(n, np.int64), plan)
+        own, times = np.unique(keys[:, :, 0], return_counts=True)
+        at = np.minimum(np.searchsorted(own, keys.ravel()), len(own) - 1)
+        shares.append(times[at][own[at] == keys.ravel()].sum() / n)
+    assert max(shares) < 500 and shares[1] < shares[0]
+
+
+def test_vectors_with_links(spark):
+    """Clusters of near copies among unlike vectors: most links found, none that isn't one."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for dim, first in ((16, 0), (64, 10_000), (384, 20_000)):
+        centres = rng.standard_normal((60, dim))
+        for k in range(300):
+            v = centres[k % 60] + rng.standard_normal(dim) * 0.18
+            rows.append((first + k, v.tolist(), k % 3 if k < 200 else 0))
+    links = brute_vectors(rows)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
+    got = {r.vec_id: r.n_links for r in lattice.near_vectors(df).collect()}
+    want = {r[0]: 0 for r in rows}
+    for i, j in links:
+        want[rows[i][0]] += 1
+        want[rows[j][0]] += 1
+    assert len(links) > 100 and len(got) == len(rows)
+    assert all(got[k] <= want[k] for k in want)
+    assert sum(got.values()) >= 0.95 * 2 * len(links)
+
+
 def test_vectors_table(spark):
     rows = [(r.vec_id, list(r.embedding), r.label) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()]
     check_vectors(queries.op4_lattice(spark, SF).collect(), rows)
