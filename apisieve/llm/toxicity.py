@@ -41,7 +41,7 @@ from .common import small_batches
 MAX_TOXIC, MAX_ORDINARY, MAX_CHARS = 2000, 4500, 40_000
 WINDOW, LEVEL, GRAM = 10, 9, 5
 TOXIC_BYTES, ORDINARY_BYTES = 8_000, 24_000
-MIN_CONTEXTS, MIN_ODDS = 15, 2.5
+MIN_RATIO, MIN_ODDS = 20.0, 2.0
 THRESHOLD, ORDINARY_WEIGHT, FITTED = 0.7, 2.0, 0.3
 
 
@@ -60,23 +60,37 @@ def grams(word: str) -> set[str]:
 
 
 def marks(toxic: list[str], ordinary: list[str]) -> set[str]:
-    """N-grams that set toxic texts apart."""
+    """N-grams that set toxic texts apart: by the log-odds of the texts that hold them, and by a
+    likelihood-ratio test of the different contexts they stand in, among all words of each kind."""
+
     def counted(texts: list[str]) -> Counter:
         n: Counter = Counter()
         for t in texts:
             n.update(set().union(*map(grams, set(words(t)))))
         return n
 
+    def contexts(texts: list[str], some: set[str]) -> tuple[Counter, int]:
+        found: dict[str, set] = defaultdict(set)
+        total = 0
+        for t in texts:
+            w = ["", *words(t), ""]
+            total += len(w) - 2
+            for before, word, after in zip(w, w[1:], w[2:], strict=False):
+                for g in grams(word) & some:
+                    found[g].add(zlib.crc32(f"{before} {after}".encode("utf-8", "replace")))
+        return Counter({g: len(c) for g, c in found.items()}), max(total, 1)
+
     in_toxic, in_ordinary = counted(toxic), counted(ordinary)
     odds = {g: math.log((k + 0.5) / (len(toxic) + 1)) - math.log((in_ordinary[g] + 0.5) / (len(ordinary) + 1)) for g, k in in_toxic.items() if k >= 3}
-    odds = {g for g, x in odds.items() if x > MIN_ODDS}
-    contexts: dict[str, set] = defaultdict(set)
-    for t in toxic:
-        w = ["", *words(t), ""]
-        for before, word, after in zip(w, w[1:], w[2:], strict=False):
-            for g in grams(word) & odds:
-                contexts[g].add(zlib.crc32(f"{before} {after}".encode("utf-8", "replace")))
-    return {g for g, c in contexts.items() if len(c) >= MIN_CONTEXTS}
+    some = {g for g, x in odds.items() if x > MIN_ODDS}
+    (a, n_a), (b, n_b) = contexts(toxic, some), contexts(ordinary, some)
+
+    def ratio(g: str) -> float:
+        x, y = a[g], b[g]
+        rate = (x + y) / (n_a + n_b)
+        return 2 * (x * math.log(x / n_a / rate) + (y * math.log(y / n_b / rate) if y else 0)) if x / n_a > rate else 0.0
+
+    return {g for g in some if ratio(g) >= MIN_RATIO}
 
 
 @dataclass
