@@ -43,7 +43,7 @@ def test_toxicity_learns(spark):
 
 def test_language_model(spark, monkeypatch):
     monkeypatch.setattr(lbl, "TOP", 300)  # most words go by the join
-    monkeypatch.setattr(lbl, "STEPS", 400)
+    monkeypatch.setattr(lbl, "PASSES", 2)
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     rows = [(r.doc_id, r.text) for r in docs[:300]] + [(5000, None), (5001, ""), (None, "the of"), (0, docs[0].text)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, score int")
@@ -75,23 +75,82 @@ def test_language_model(spark, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
-def test_class_model_is_normalised(monkeypatch):
-    monkeypatch.setattr(lbl, "STEPS", 400)
+def plain_score(model, counts, text):
+    """log10 probability of a text, one token at a time."""
+    words = (text or "").encode().lower().split()
+    first = len(model.p["r"]) - lbl.CLASSES - 1
+    own = {w: k for k, w in enumerate(model.words)}
+
+    def cls(w):
+        if own.get(w, lbl.OWN) < lbl.OWN:
+            return own[w]
+        tail = w[-3:]
+        return lbl.END + 1 + (model.endings[tail] if tail in model.endings else lbl.SUFFIXES + zlib.crc32(tail) % lbl.HASHED)
+
+    codes = [own[w] if own.get(w, first) < first else first + cls(w) for w in words]
+    r, q, b, a = (model.p[k].astype(np.float64) for k in "rqba")
+    total = 0.0
+    for t in range(len(words) + 1):
+        one, two = (r[codes[t - k]] if t >= k else r[-1] for k in (1, 2))
+        bag = sum((r[c] for c in codes[max(0, t - lbl.WINDOW) : t]), np.zeros(lbl.DIM)) / math.sqrt(lbl.WINDOW)
+        s = q @ (a[0] * one + a[1] * two + a[2] * bag) + b
+        c = cls(words[t]) if t < len(words) else lbl.END
+        p = math.exp(s[c]) / np.exp(s).sum()
+        total += math.log10(p)
+        if t < len(words) and c > lbl.END:
+            members = [x for x in counts if cls(x) == c]
+            total += math.log10((counts.get(words[t], 0) + 0.1) / (sum(counts[x] for x in members) + 0.1 * (len(members) + 1)))
+    return total
+
+
+def test_scores_as_plainly_evaluated(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(lbl, "TOP", 300)
+    monkeypatch.setattr(lbl, "PASSES", 1)
+    docs = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(120).collect()]
+    texts = [*docs[:100], None, "", "neverseen the xyzzy", "word " * 3000]
+    df = spark.createDataFrame([(k, t or "", k < 80) for k, t in enumerate(texts)], "doc_id long, text string, trains boolean")
+    counts = lbl.count_words(df.filter("trains")).cache()
+    model = lbl.fit(df.filter("trains"), counts)
+    plain = {bytes(r.word): r.n for r in counts.collect()}
+    got = {r.doc_id: r for r in lbl.apply_model(df, model, counts).collect()}
+    assert len(got) == len(texts)
+    for k in (0, 3, 85, 100, 101, 102, 103):
+        want = plain_score(model, plain, texts[k])
+        assert abs(got[k].score - want) <= 1e-4 * abs(want) + 1e-3, k
+    nothing = lbl.score_documents(df, F.lit(False)).collect()
+    assert len(nothing) == len(texts) and all(r.train_tokens == 0 and r.score < 0 for r in nothing)
+    assert lbl.score_documents(df.limit(0), F.col("doc_id") > 1).count() == 0
+
+
+def test_training_learns_what_follows(monkeypatch):
+    """After one word comes another; noise in between."""
     rng = np.random.default_rng(1)
-    counts = rng.poisson(0.05, (lbl.CLASSES,) * 3)
-    counts[:, :, 3] += 2
-    table = lbl.train(counts)
-    assert np.allclose(np.exp(table).sum(-1), 1)
-    assert (table.argmax(-1) == 3).mean() > 0.9
-    assert np.allclose(np.exp(lbl.train(np.zeros_like(counts))).sum(-1), 1)
-
-
-def test_training_takes_every_counted_triple(monkeypatch):
-    monkeypatch.setattr(lbl, "STEPS", 200)
-    counts = np.zeros((lbl.CLASSES,) * 3, np.int64)
-    counts[1, 2, 3] = counts[1, 4, 7] = 5 * 10**11
-    rare = [(k, k + 40, 3 if k % 2 else 7) for k in range(10, 30)]
-    for k in rare:
-        counts[k] = 10**5  # one in 10**7: few of a fixed number of draws meet them
-    table = lbl.train(counts)
-    assert all(table[one, two].argmax() == target for one, two, target in rare)
+    words = [b"w%02d" % k for k in range(40)]
+    texts = []
+    for _ in range(800):
+        w = [words[int(k)] for k in rng.integers(0, 40, 30)]
+        for at in range(0, 28, 3):
+            w[at + 1] = words[(int(w[at][1:]) + 7) % 40]
+        texts.append(w)
+    mass = np.ones(lbl.CLASSES)
+    mass[:40] = 500
+    noise = mass / mass.sum()
+    model = lbl.Model(words, np.full(40, 500), {}, np.zeros(lbl.CLASSES), noise, 800, 1, 1, lbl.initial(40, noise))
+    trainer = lbl.Trainer(model.p, noise, [1])
+    sequence = lbl.encode(texts, lbl.Codes(model))
+    code, target, start, _ = sequence
+    at = np.arange(2000)
+
+    def likely(p):
+        logs = lbl.log_classes(p, code, start, 0, 2000)
+        assert np.allclose(np.exp(logs).sum(1), 1, atol=1e-4)
+        return logs[at, target[:2000]].mean()
+
+    before = likely(model.p)
+    for _ in range(6):
+        trainer.run(*sequence)
+    assert likely(trainer.p) > before + 0.3
+    same = lbl.averaged(model.p, trainer.weighted().astype(np.float64) * 2)
+    assert all(np.allclose(same[k], trainer.p[k], rtol=1e-3, atol=1e-4) for k in same)
