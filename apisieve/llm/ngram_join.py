@@ -59,6 +59,8 @@ STARS, KEYS, LEAST, PIVOTS = 2, 4, 2, 4
 RANGE, GROUP, PACKED = 250_000, 4096, 250_000
 #: Parities of a set's tokens, by the low bits of their hashes.
 BITS = tuple(f"bits{k}" for k in range(8))
+#: Fewer parities, for postings: each adds up some of those.
+FOLDS = ("fold0", "fold1", "fold2")
 #: Up to so many ids (8 bytes each) are broadcast; more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
@@ -196,9 +198,9 @@ def _may_link(x: str, y: str, percent: int) -> Column:
     return apart * (100 + percent) <= (F.col("n" + x) + F.col("n" + y)) * (100 - percent)
 
 
-def _fold() -> Column:
-    """Parities in 64 places."""
-    return reduce(Column.bitwiseXOR, [F.col(b) for b in BITS])
+def _folds() -> list[Column]:
+    """Parities in 64 places, as often as FOLDS has names: each of these takes some of the bits."""
+    return [reduce(Column.bitwiseXOR, [F.col(b) for b in BITS[k :: len(FOLDS)]]).alias(name) for k, name in enumerate(FOLDS)]
 
 
 def _few(df: DataFrame) -> DataFrame:
@@ -242,33 +244,35 @@ def _near(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, percent
 
 def _star(heads: DataFrame, at: DataFrame | None, k: int, percent: int) -> DataFrame:
     """Candidates (a, pivot b) of round ``k``: members of a key whose component isn't the pivot's."""
-    keyed = heads.select(F.col("doc_id").alias("id"), "n", _fold().alias("fold"), F.explode(F.slice("keys", k * KEYS + 1, KEYS)).alias("key"))
+    keyed = heads.select(F.col("doc_id").alias("id"), "n", *_folds(), F.explode(F.slice("keys", k * KEYS + 1, KEYS)).alias("key"))
     if at is not None:
-        keyed = keyed.join(at.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "fold", "key", F.coalesce("component", "id").alias("comp"))
+        keyed = keyed.join(at.withColumnRenamed("node", "id"), "id", "left").select("id", "n", *FOLDS, "key", F.coalesce("component", "id").alias("comp"))
     else:
         keyed = keyed.withColumn("comp", F.col("id"))
-    pivots = [F.min(F.struct(F.xxhash64("id", "key", F.lit(j)).alias("h"), "id", "n", "fold", "comp")) for j in range(PIVOTS)]
+    pivots = [F.min(F.struct(F.xxhash64("id", "key", F.lit(j)).alias("h"), "id", "n", *FOLDS, "comp")) for j in range(PIVOTS)]
     mixed = cut(keyed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key"), "jaccard-mixed")
     keyed = keyed.join(_few(mixed), "key", "left_semi")
     pivots = keyed.groupBy("key").agg(F.array_distinct(F.array(*pivots)).alias("p"))
-    fits = "x -> x.comp <> comp AND 100 * least(n, x.n) >= {0} * greatest(n, x.n) AND bit_count(fold ^ x.fold) * (100 + {0}) <= (n + x.n) * (100 - {0})".format(percent)
+    apart = " + ".join(f"bit_count({c} ^ x.{c})" for c in FOLDS)
+    fits = "x -> x.comp <> comp AND 100 * least(n, x.n) >= {0} * greatest(n, x.n) AND ({1}) * (100 + {0}) <= (n + x.n) * (100 - {0})".format(percent, apart)
     return keyed.join(pivots, "key").select(F.col("id").alias("a"), F.explode(F.expr(f"filter(p, {fits})")).alias("p")).select("a", F.col("p.id").alias("b"))
 
 
 _COLUMNS = ("id", "comp", "n", "place", "side")
 
 
-def _pack(token: np.ndarray, fold: np.ndarray, rest: dict[str, np.ndarray]) -> bytes:
+def _pack(wide: list[np.ndarray], rest: list[np.ndarray]) -> bytes:
     """Columns one after another; the small numbers by their bytes' places, which compresses to what they hold."""
-    packed = [np.array([len(token)], np.int64).tobytes(), token.tobytes(), fold.tobytes()]
-    packed += [rest[c].astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for c in _COLUMNS]
+    packed = [np.array([len(wide[0])], np.int64).tobytes(), *[x.tobytes() for x in wide]]
+    packed += [x.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for x in rest]
     return b"".join(packed)
 
 
 def _unpack(block: bytes) -> list[np.ndarray]:
     n = int(np.frombuffer(block, np.int64, 1)[0])
-    wide = [np.frombuffer(block, np.uint64, n, 8 + 8 * n * k) for k in range(2)]
-    return wide + [np.ascontiguousarray(np.frombuffer(block, np.uint8, 8 * n, 8 + 8 * n * (2 + k)).reshape(8, n).T).view(np.int64).ravel() for k in range(len(_COLUMNS))]
+    first = 1 + len(FOLDS)
+    wide = [np.frombuffer(block, np.uint64, n, 8 + 8 * n * k) for k in range(first)]
+    return wide + [np.ascontiguousarray(np.frombuffer(block, np.uint8, 8 * n, 8 + 8 * n * (first + k)).reshape(8, n).T).view(np.int64).ravel() for k in range(len(_COLUMNS))]
 
 
 def _hot(heads: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> dict[int, int]:
@@ -291,7 +295,7 @@ def _hot(heads: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> dict[int,
 
 
 def _postings(heads: DataFrame, hot: dict[int, int], ranges: int) -> DataFrame:
-    """(range, block) of the prefix tokens of (doc_id, comp, n, p1, fold)."""
+    """(range, block) of the prefix tokens of (doc_id, comp, n, p1, folds)."""
     shared = heads.sparkSession.sparkContext.broadcast((np.array(sorted(hot), np.uint64), np.array([hot[t] for t in sorted(hot)], np.int64)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -299,12 +303,13 @@ def _postings(heads: DataFrame, hot: dict[int, int], ranges: int) -> DataFrame:
         held, n = [], 0
 
         def blocks() -> pd.DataFrame:
-            frame = {c: np.concatenate([x[k] for x in held]) for k, c in enumerate(("token", "fold", *_COLUMNS))}
-            part = (mix(frame["token"], 5) % np.uint64(ranges)).astype(np.int64)
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            part = (mix(columns[0], 5) % np.uint64(ranges)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            frame, part = {c: x[order] for c, x in frame.items()}, part[order]
+            columns, part = [x[order] for x in columns], part[order]
+            wide, rest = columns[: 1 + len(FOLDS)], columns[1 + len(FOLDS) :]
             cuts = [0, *(np.nonzero(part[1:] != part[:-1])[0] + 1).tolist(), len(part)]
-            rows = [(int(part[a]), _pack(frame["token"][a:b], frame["fold"][a:b], {c: frame[c][a:b] for c in _COLUMNS})) for a, b in zip(cuts, cuts[1:], strict=False)]
+            rows = [(int(part[a]), _pack([x[a:b] for x in wide], [x[a:b] for x in rest])) for a, b in zip(cuts, cuts[1:], strict=False)]
             return pd.DataFrame(rows, columns=["range", "block"])
 
         for batch in batches:
@@ -316,7 +321,8 @@ def _postings(heads: DataFrame, hot: dict[int, int], ranges: int) -> DataFrame:
             place = np.arange(len(token)) - np.repeat(ends - size, size)
             own = [np.repeat(batch[c].to_numpy(), size) for c in ("doc_id", "comp", "n")]
             own[1] = np.where(own[1] == own[0], 0, own[1] ^ own[0])  # mostly nothing, which compresses
-            row = [token, np.repeat(batch["fold"].to_numpy(), size).view(np.uint64), *own, place, np.zeros(len(token), np.int64)]
+            folds = [np.repeat(batch[c].to_numpy(), size).view(np.uint64) for c in FOLDS]
+            row = [token, *folds, *own, place, np.zeros(len(token), np.int64)]
             if len(hot_token):
                 at = np.minimum(np.searchsorted(hot_token, token), len(hot_token) - 1)
                 many = hot_token[at] == token
@@ -324,10 +330,10 @@ def _postings(heads: DataFrame, hot: dict[int, int], ranges: int) -> DataFrame:
                 index = np.repeat(np.arange(len(token)), times)
                 other = np.arange(len(index)) - np.repeat(np.cumsum(times) - times, times)
                 row, many, k = [x[index] for x in row], many[index], times[index]
-                mine = (mix(row[2].astype(np.uint64), 3) % k.astype(np.uint64)).astype(np.int64)
+                mine = (mix(row[1 + len(FOLDS)].astype(np.uint64), 3) % k.astype(np.uint64)).astype(np.int64)
                 lo, hi = np.minimum(mine, other), np.maximum(mine, other)
                 row[0] = np.where(many, mix(row[0] ^ mix((lo * k + hi).astype(np.uint64), 9), 9), row[0])
-                row[6] = np.where(many & (lo != hi), 1 + (mine == hi), 0)
+                row[-1] = np.where(many & (lo != hi), 1 + (mine == hi), 0)
             held.append(row)
             n += len(row[0])
             if n >= PACKED:
@@ -336,14 +342,14 @@ def _postings(heads: DataFrame, hot: dict[int, int], ranges: int) -> DataFrame:
         if n:
             yield blocks()
 
-    return heads.select("doc_id", "comp", "n", "p1", "fold").mapInPandas(run, "range long, block binary")
+    return heads.select("doc_id", "comp", "n", "p1", *FOLDS).mapInPandas(run, "range long, block binary")
 
 
 def _meet(percent: int):
     """Candidates of a range: pairs of unlike components within a token."""
 
     def run(blocks: pd.DataFrame) -> pd.DataFrame:
-        token, fold, ids, comp, n, place, side = (np.concatenate(x) for x in zip(*map(_unpack, blocks["block"]), strict=True))
+        token, *folds, ids, comp, n, place, side = (np.concatenate(x) for x in zip(*map(_unpack, blocks["block"]), strict=True))
         comp = comp ^ ids
         order = np.lexsort((n, token))
         token, comp = token[order], comp[order]
@@ -351,7 +357,7 @@ def _meet(percent: int):
         size = np.diff(np.append(start, len(token)))
         mixed = np.repeat(np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start), size)
         order, token, comp = order[mixed], token[mixed], comp[mixed]
-        fold, ids, n, place, side = (x[order] for x in (fold, ids, n, place, side))
+        ids, n, place, side, *folds = (x[order] for x in (ids, n, place, side, *folds))
         found, alive, d = [], np.arange(len(token)), 0
         while len(alive):  # the d-th next of each, as long as it has the token and a length that can link
             d += 1
@@ -363,7 +369,8 @@ def _meet(percent: int):
             ok = (comp[i] != comp[j]) & (1 + np.minimum(n[i] - 1 - place[i], n[j] - 1 - place[j]) >= need)
             ok &= (side[i] != side[j]) | (side[i] == 0)
             i, j = i[ok], j[ok]
-            ok = np.bitwise_count(fold[i] ^ fold[j]).astype(np.int64) * (100 + percent) <= both[ok] * (100 - percent)
+            apart = sum((np.bitwise_count(x[i] ^ x[j]).astype(np.int64) for x in folds), np.zeros(len(i), np.int64))
+            ok = apart * (100 + percent) <= both[ok] * (100 - percent)
             i, j = i[ok], j[ok]
             if len(i):
                 found.append(np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], 1))
@@ -393,8 +400,8 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
         links.append(_near(docs, heads, _star(heads, at, k, percent), size, percent, f"{name}-star{k}"))
         at = _few(components(reduce(DataFrame.unionByName, links), f"{name}-stars"))
 
-    placed = heads.select("doc_id", "n", "p1", _fold().alias("fold")).join(at.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "n", "p1", "fold")
+    placed = heads.select("doc_id", "n", "p1", *_folds()).join(at.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    placed = placed.select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "n", "p1", *FOLDS)
     total = heads.agg(F.sum(F.length("p1")).alias("n")).first()["n"] or 0
     ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 * RANGE)))
     blocks = _postings(placed, _hot(heads, frequent), ranges)
