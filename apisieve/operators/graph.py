@@ -2,40 +2,30 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _shared(spark: SparkSession) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="apisieve-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+from .. import storage
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Written to the shared folder and read back, so lineage ends and a lost executor costs little."""
-    path = f"{_shared(df.sparkSession).rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return storage.cut(df, "graph")
 
 
 def reach(edges: DataFrame, seeds: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, depth): least number of steps from the seeds (node). Each round joins only the frontier."""
-    seen = cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))
-    frontier, depth = seen.select("node"), 0
+    parts = [cut(seeds.select("node").distinct().withColumn("depth", F.lit(0)))]
+    frontier, seen, depth = parts[0].select("node"), parts[0], 0
     while rounds is None or depth < rounds:
         depth += 1
         step = frontier.join(edges, frontier["node"] == edges["src"]).select(F.col("dst").alias("node")).distinct()
         new = cut(step.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)))
         if new.isEmpty():
             break
-        seen = cut(seen.unionByName(new))
-        frontier = new.select("node")
+        parts.append(new)
+        frontier, seen = new.select("node"), reduce(DataFrame.unionByName, parts)
     return seen
 
 

@@ -55,6 +55,7 @@ def entries(facts: DataFrame, wanted: set[str] | None = None) -> DataFrame:
         made += [
             (at(kind), f"{kind}_rooted", chain),
             (at(kind), f"{kind}_heuristic", c("syntactic_path")),
+            (at(kind), f"{kind}_member", c("member")),
             (at(kind) & (c("proof") == "namespace"), f"{kind}_namespace", both(c("module"), c("member"))),
             (at(kind) & (c("proof") == "namespace"), f"{kind}_package_namespace", both(root, c("member"))),
         ]
@@ -82,6 +83,9 @@ def scan(facts: DataFrame, roots: Sequence[Root]) -> DataFrame:
     loose = [(n, r) for n, r in enumerate(roots) if (n, r) not in keyed]
     out = ["rule_id", "evidence", "symbol", "path", "fact_id", "start", "end", "function_id", "receiver", "result", "definite"]
     parts = []
+    if not roots:
+        kinds = {"start": "long", "end": "long", "fact_id": "long", "function_id": "long", "receiver": "long", "result": "long", "definite": "boolean"}
+        return facts.sparkSession.createDataFrame([], ", ".join(f"{c} {kinds.get(c, 'string')}" for c in out))
     if keyed:
         rows = [(n, r.rule_id, r.evidence, r.symbol, r.index, join_key(r)) for n, r in keyed]
         plan = facts.sparkSession.createDataFrame(rows, "root int, rule_id string, evidence string, symbol string, index string, key string")
@@ -90,11 +94,14 @@ def scan(facts: DataFrame, roots: Sequence[Root]) -> DataFrame:
             if r.args:
                 found = found.filter((F.col("root") != n) | all_hold(F.col("args"), r.args))
         parts.append(found.select(*out))
-    for _, r in loose:
+    if loose:  # all of them in one pass over the strings
+        address = private_ipv4_or_localhost(F.col("text")) | private_ipv6(F.col("text"))
+        fits = []
+        for _, r in loose:
+            test = F.contains("text", F.lit(r.key)) if r.index.endswith("literal") else address
+            fits.append(F.when(test, F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.evidence).alias("evidence"), F.lit(r.symbol).alias("symbol"))))
         strings = facts.filter(F.col("kind") == "string_reference")
-        test = F.contains("text", F.lit(r.key)) if r.index.endswith("literal") else private_ipv4_or_localhost(F.col("text")) | private_ipv6(F.col("text"))
-        hit = strings.filter(F.coalesce(test, F.lit(False)))
-        parts.append(hit.select(F.lit(r.rule_id).alias("rule_id"), F.lit(r.evidence).alias("evidence"), F.lit(r.symbol).alias("symbol"), *out[3:]))
+        parts.append(strings.select(F.explode(F.array_compact(F.array(*fits))).alias("root"), *out[3:]).select("root.rule_id", "root.evidence", "root.symbol", *out[3:]))
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)

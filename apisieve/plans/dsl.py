@@ -190,8 +190,8 @@ class EventQuery:
     def with_arg_static_string(self, index: int) -> EventQuery:
         return self.with_arg(index, Value.static_string())
 
-    def with_arg_static_strings(self, index: int, prefixes: Sequence[str]) -> EventQuery:
-        return self.with_arg(index, Value.starts_with_any(prefixes))
+    def with_arg_static_strings(self, index: int, values: Sequence[str]) -> EventQuery:
+        return self.with_arg(index, Value.equals_any(values))
 
     def with_arg_static_string_contains(self, index: int, values: Sequence[str]) -> EventQuery:
         return self.with_arg(index, Value.contains_any(values))

@@ -47,8 +47,15 @@ def included(path: Column, include: Sequence[str], exclude: Sequence[str] = ())
 
 
 def admit(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Files within the size bound, decoded."""
-    return files.filter(F.octet_length("content") <= max_bytes).select("path", F.decode("content", "UTF-8").alias("text"), F.octet_length("content").alias("n_bytes"))
+    """Files within the size bound that are UTF-8, decoded; ``refused`` tells of the others."""
+    sound = (F.octet_length("content") <= max_bytes) & F.is_valid_utf8(F.col("content").cast("string"))
+    return files.filter(sound).select("path", F.decode("content", "UTF-8").alias("text"), F.octet_length("content").alias("n_bytes"))
+
+
+def refused(files: DataFrame, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """(path, code) of the files that ``admit`` leaves out."""
+    code = F.when(F.octet_length("content") > max_bytes, "too large").when(~F.is_valid_utf8(F.col("content").cast("string")), "invalid encoding")
+    return files.select("path", code.alias("code")).filter("code IS NOT NULL")
 
 
 def admission_problems(files: DataFrame) -> DataFrame:

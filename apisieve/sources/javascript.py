@@ -17,8 +17,10 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.facts import COLUMNS, SCHEMA
+from ..storage import cut
 
 TOKEN = re.compile(
     r"""(?P<space>[\s﻿]+|//[^\n]*|/\*.*?\*/)|(?P<name>[A-Za-z_$\u0080-\uffff][\w$\u0080-\uffff]*)|(?P<number>0[xXbBoO][0-9a-fA-F_]+n?|(?:[0-9][0-9_]*\.?[0-9_]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?n?)"""
@@ -79,6 +81,18 @@ def unescape(body: str) -> str:
     return re.sub(r"\\(u\{[0-9a-fA-F]+\}|u[0-9a-fA-F]{4}|x[0-9a-fA-F]{2}|.)", one, body, flags=re.S)
 
 
+def brackets(tokens: list[Token]) -> tuple[list[int], list[int]]:
+    """For each token the bracket it lies in (-1: none), and for each opening one where it closes."""
+    around, closing, open_ = [-1] * len(tokens), [len(tokens)] * len(tokens), []
+    for k, token in enumerate(tokens):
+        if token.kind == "punct" and token.text in ")]}" and open_:
+            closing[open_.pop()] = k
+        around[k] = open_[-1] if open_ else -1
+        if token.kind == "punct" and token.text in "([{":
+            open_.append(k)
+    return around, closing
+
+
 def tokenize(text: str) -> list[Token]:
     out: list[Token] = []
     i = 0
@@ -101,6 +115,25 @@ def tokenize(text: str) -> list[Token]:
     return out
 
 
+def interpolated(template: str) -> list[tuple[int, int]]:
+    """Places of the expressions in a template's text."""
+    out, i = [], 0
+    while (i := template.find("${", i)) >= 0:
+        if (i - len(template[:i].rstrip("\\"))) % 2:  # escaped
+            i += 2
+            continue
+        depth, k = 1, i + 2
+        while depth and k < len(template):
+            if template[k] in "'\"" and (m := re.compile(r"(['\"])(?:(?!\1)[^\\\n]|\\.)*\1").match(template, k)):
+                k = m.end()
+                continue
+            depth += (template[k] == "{") - (template[k] == "}")
+            k += 1
+        out.append((i + 2, k - 1))
+        i = k
+    return out
+
+
 class Reader:
     """Facts of one file, in source order."""
 
@@ -117,6 +150,7 @@ class Reader:
     def _declare(self) -> None:
         """Names bound anywhere in the file; one that is bound or assigned twice proves nothing."""
         t = self.tokens
+        self.around, self.closing = brackets(t)
         for k, token in enumerate(t):
             nxt = t[k + 1].text if k + 1 < len(t) else ""
             before = t[k - 1].text if k else ""
@@ -131,27 +165,13 @@ class Reader:
                 self.bindings.setdefault(token.text, Binding("assigned")).times += 1
 
     def _is_parameter(self, k: int) -> bool:
-        t, depth = self.tokens, 0
-        while k >= 0:
-            if t[k].text in (")", "]", "}"):
-                depth += 1
-            elif t[k].text in ("(", "[", "{"):
-                depth -= 1
-                if depth < 0:
-                    break
-            k -= 1
+        t, k = self.tokens, self.around[k]
         if k < 1 or t[k].text != "(":
             return False
         before = t[k - 1]
         if before.text == "function" or (k > 1 and t[k - 2].text == "function") or before.text == "catch":
             return True
-        depth, j = 0, k
-        while j < len(t):
-            depth += t[j].text == "("
-            depth -= t[j].text == ")"
-            if not depth:
-                break
-            j += 1
+        j = self.closing[k]
         return j + 1 < len(t) and t[j + 1].text == "=>"
 
     def _bind(self, name: str, value: Known) -> None:
@@ -294,11 +314,35 @@ class Reader:
         if self.peek() == "extends":
             self.take()
             at = self.tokens[self.i].start
-            base = self.unary()
+            base = self.postfix(*self.primary())
             self.reference(base, at, self.tokens[self.i - 1].end, "superclass")
+        while self.peek() not in ("{", ""):  # type parameters and interfaces
+            self.take()
+        if self.peek() == "{":
+            self.class_body()
+
+    def class_body(self) -> None:
+        """Members are declarations, not calls; methods' bodies and fields' values are read for their facts."""
+        self.expect("{")
+        while self.peek() != "}":
+            t = self.take()
+            if t.text == "static" and self.peek() == "{":
+                self.body()
+            elif t.text == "[":
+                self.expression()
+                self.expect("]")
+            elif t.text == "(":
+                self.i -= 1
+                self.function_rest()
+            elif t.text == "=":
+                self.expression(comma=False)
+            elif t.text == ":":  # a type, up to the value or the end
+                while self.peek() not in ("=", ";", "}", ""):
+                    self.take()
+        self.take()
 
     def reference(self, v: Known, start: int, end: int, role: str) -> None:
-        self.fact("class_reference", start, end, name=v.export or v.name or v.chain, role=role, **self.proof(v))
+        self.fact("class_reference", start, end, **{"name": v.export or v.name or v.chain, "role": role, **self.proof(v)})
 
     def function(self) -> None:
         self.take()
@@ -400,6 +444,7 @@ class Reader:
             if value is not None and len(value.encode("utf-8", "surrogatepass")) <= MAX_CONSTANT:
                 self.fact("string_reference", token.start, token.end, text=value)
                 return Known(string=value), token.start
+            self.inner(token)
             return Known(), token.start
         if t == "(":
             if self.peek() == ")":
@@ -426,6 +471,18 @@ class Reader:
             return self._lookup(t), token.start
         return Known(), token.start
 
+    def inner(self, token: Token) -> None:
+        """Reads the expressions inside a template for their facts."""
+        outer, at = self.tokens, self.i
+        for a, b in interpolated(token.text):
+            first = token.start + a
+            self.tokens, self.i = [Token(t.kind, t.text, t.start + first, t.end + first) for t in tokenize(token.text[a:b])], 0
+            while self.i < len(self.tokens):
+                before = self.i
+                self.expression()
+                self.i += self.i == before
+        self.tokens, self.i = outer, at
+
     def object(self) -> dict | None:
         out: dict = {}
         known = True
@@ -449,6 +506,8 @@ class Reader:
                     self.take()
                     out.pop(key, None)
                     out[key] = self.expression(comma=False)
+                elif token.text in ("get", "set", "async", "*") and self.peek() not in (",", "}", "("):
+                    continue  # the name comes next
                 elif self.peek() == "(":
                     self.function_rest()
                     out[key] = Known()
@@ -470,7 +529,11 @@ class Reader:
             depth -= t == ")"
             if not depth:
                 break
-        self.body()
+        if self.peek() == ":":  # a result's type
+            while self.peek() not in ("{", ";", "}", ""):
+                self.take()
+        if self.peek() == "{":
+            self.body()
 
     def body(self) -> None:
         self.expect("{")
@@ -617,31 +680,40 @@ def read(path: str, text: str) -> tuple[list[dict], str | None]:
     """Facts, and why the file could not be read, if it could not."""
     try:
         return Reader(path, text).run(), None
-    except (Unreadable, RecursionError, IndexError) as error:
+    except Exception as error:  # noqa: BLE001  no text may end a job of millions of files
         return [], f"{type(error).__name__}: {error}"
 
 
-def facts_of(sources: DataFrame) -> DataFrame:
-    """Facts of (path, text) rows; unreadable files have none, see ``diagnostics_of``."""
-    names = list(COLUMNS)
+def _rows(sources: DataFrame) -> DataFrame:
+    """Facts of (path, text) rows and, for a file that can't be read, one row with the ``problem`` only."""
+    names = [*COLUMNS, "problem"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [row for path, text in zip(batch["path"], batch["text"], strict=True) for row in read(path, text or "")[0]]
+            rows = []
+            for path, text in zip(batch["path"], batch["text"], strict=True):
+                found, problem = read(path, text or "")
+                rows += found if problem is None else [{"path": path, "problem": problem}]
             frame = pd.DataFrame(rows, columns=names)
             for c in ("fact_id", "start", "end", "function_id", "receiver", "result"):
                 frame[c] = frame[c].astype("Int64")
             yield frame.astype({c: object for c in names if frame[c].dtype == float}).where(frame.notna(), None)
 
-    return sources.select("path", "text").mapInPandas(run, SCHEMA)
+    return sources.select("path", "text").mapInPandas(run, f"{SCHEMA}, problem string")
+
+
+def facts_of(sources: DataFrame) -> DataFrame:
+    """Facts of (path, text) rows; unreadable files have none, see ``diagnostics_of``."""
+    return _rows(sources).filter("problem IS NULL").drop("problem")
 
 
 def diagnostics_of(sources: DataFrame) -> DataFrame:
     """(path, code, message) of the files that can't be read."""
+    return _rows(sources).filter("problem IS NOT NULL").select("path", F.lit("unreadable").alias("code"), F.col("problem").alias("message"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = [(p, "unreadable", problem) for p, t in zip(batch["path"], batch["text"], strict=True) if (problem := read(p, t or "")[1])]
-            yield pd.DataFrame(found, columns=["path", "code", "message"])
 
-    return sources.select("path", "text").mapInPandas(run, "path string, code string, message string")
+def facts_and_diagnostics(sources: DataFrame, name: str = "facts") -> tuple[DataFrame, DataFrame]:
+    """Both, of one pass over the sources, which is written to the shared folder."""
+    rows = cut(_rows(sources), name)
+    problems = rows.filter("problem IS NOT NULL").select("path", F.lit("unreadable").alias("code"), F.col("problem").alias("message"))
+    return rows.filter("problem IS NULL").drop("problem"), problems

@@ -75,12 +75,15 @@ def _effective(path: str, read: Callable[[str], str | None], problems: list, tra
 
 def discover(path: str, read: Callable[[str], str | None]) -> Selection:
     """What a tsconfig and the projects it references select; ``read`` gives a file's text or None."""
-    out, seen, todo = Selection(), set(), [path]
+    out, seen = Selection(), set()
+    todo: list[tuple[str, tuple[str, ...]]] = [(path, ())]  # each with the projects on the way to it
     while todo:
-        now = todo.pop(0)
-        if now in seen:
+        now, way = todo.pop(0)
+        if now in way:
             out.problems.append((now, "reference cycle"))
             continue
+        if now in seen:  # shared by several projects
+            continue
         seen.add(now)
         config = _effective(now, read, out.problems)
         if config is None:
@@ -90,7 +93,7 @@ def discover(path: str, read: Callable[[str], str | None]) -> Selection:
         out.include += config.get("include", [] if "files" in config else [posixpath.join(here, "**") if here else "**"])
         out.exclude += config.get("exclude", [posixpath.join(here, e) for e in DEFAULT_EXCLUDE])
         for r in config.get("references", []):
-            todo.append(r if r.endswith(".json") else posixpath.join(r, "tsconfig.json"))
+            todo.append((r if r.endswith(".json") else posixpath.join(r, "tsconfig.json"), (*way, now)))
     return out
 
 
