@@ -41,6 +41,28 @@ def test_toxicity_learns(spark):
     assert toxicity.score_documents(df.limit(0), model).count() == 0
 
 
+def test_toxicity_scores_as_plainly_computed(spark):
+    """A score is what two compressors with the two contents give, window by window."""
+    import zstandard
+
+    rng = np.random.default_rng(5)
+    plain = [f"{a}{b}" for a in ("ther", "ion", "sta", "mel") for b in ("on", "ing", "ed", "ly")]
+    rows = [(" ".join([*rng.choice(plain, 40), *(["rottenliar"] if y else []), *rng.choice(plain, 9)]), y) for y in (0, 1) for _ in range(120)]
+    model = toxicity.train(rows)
+    raw = zstandard.DICT_TYPE_RAWCONTENT
+    tools = [zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(c, dict_type=raw), write_content_size=False, write_dict_id=False, write_checksum=False) for c in (model.toxic + model.ordinary, model.ordinary)]
+    texts = [rows[0][0], rows[200][0], "", None, "Rottenliar\n" * 500]
+    got = {r.k: r.score for r in toxicity.score_documents(spark.createDataFrame(list(enumerate(texts)) + [(9, texts[0])], "k int, text string"), model).collect()}
+    for k, text in enumerate(texts):
+        words = (text or "").lower().split()
+        pieces = [words[i : i + 10] for i in range(0, len(words), 10)] or [[]]
+        saved = sorted((len(tools[1].compress(w)) - len(tools[0].compress(w)) for w in (f" {' '.join(p)} ".encode() for p in pieces)), reverse=True)
+        x = [saved[0], sum(saved[:3]) / len(saved[:3]), sum(saved) / len(saved), sum(s >= 3 for s in saved) / len(saved), sum(s >= 4 for s in saved), saved[0] >= 5, saved[0] >= 6, math.log(len(saved)), math.log1p(sum(max(s - 2, 0) for s in saved))]
+        z = model.weights[0] + sum((v - m) / d * w for v, m, d, w in zip(x, model.mean, model.spread, model.weights[1:], strict=True))
+        assert abs(got[k] - 1 / (1 + math.exp(-max(-30, min(30, z))))) < 1e-9
+    assert got[9] == got[0] and got[2] == got[3]
+
+
 def test_language_model(spark, monkeypatch):
     monkeypatch.setattr(lbl, "TOP", 300)  # most words go by the join
     monkeypatch.setattr(lbl, "PASSES", 2)
