@@ -60,6 +60,6 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 BATCH_ROWS = 500
 
 
-def small_batches(spark: SparkSession) -> None:
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds what a Python worker holds at once; rows here are whole texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

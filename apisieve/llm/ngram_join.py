@@ -52,15 +52,17 @@ from .components import components
 
 WORDS, PERCENT = 3, 90
 #: Tokens with a rank of their own, at most; tokens that a task counts at a time.
-HEAVY, COUNTED = 1_000_000, 2_000_000
+HEAVY, COUNTED = 1_000_000, 1_000_000
 #: Rounds of pivots, keys of a set in each of them, least hashes in a key, pivots of a key.
 STARS, KEYS, LEAST, PIVOTS = 2, 4, 2, 4
 #: Postings of a range of tokens; of a token's slice; that a task packs at a time.
-RANGE, GROUP, PACKED = 250_000, 4096, 250_000
+RANGE, GROUP, PACKED = 250_000, 4096, 100_000
 #: Parities of a set's tokens, by the low bits of their hashes.
 BITS = tuple(f"bits{k}" for k in range(8))
 #: Fewer parities, for postings: each adds up some of those.
 FOLDS = ("fold0", "fold1", "fold2")
+#: Rows of an Arrow batch; a pair of texts is one.
+PAIRS = 150
 #: Up to so many ids (8 bytes each) are broadcast; more are joined by shuffling.
 BROADCAST_IDS = 1_000_000
 
@@ -70,7 +72,7 @@ class WordHash(dict):
 
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         if len(word) <= 64:
             self[word] = h
@@ -384,7 +386,7 @@ def _meet(percent: int):
 
 def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCENT, name: str = "jaccard") -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links) of every row."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, PAIRS)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent = _frequent(docs, size)
     sets = cut(_sets(docs, frequent, size, percent), f"{name}-sets")
