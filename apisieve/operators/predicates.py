@@ -8,6 +8,7 @@ from operator import and_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import canonical_chain
 from ..plans.dsl import Value
 
 
@@ -35,7 +36,8 @@ def on_argument(arg: Column, value: Value) -> Column:
         wanted = F.array(*[F.lit(v) for v in value.values])
         test = F.size(F.array_except(wanted, F.map_keys(arg["object"]))) == 0
     elif value.op == "rooted":
-        test = arg["rooted_chain"].isin(*value.values)
+        same = canonical_chain(arg["rooted_chain"])
+        test = reduce(lambda a, b: a | b, [same == canonical_chain(F.lit(v)) for v in value.values])
     elif value.op == "property":
         inside = on_string(F.try_element_at(arg["object"], F.lit(value.prop)), value.inner)
         test = F.when(arg["object"].isNotNull(), F.map_contains_key(arg["object"], F.lit(value.prop)) & inside).otherwise(on_string(arg["static_string"], value.inner))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import severity_rank
@@ -35,9 +35,36 @@ def check_expectations(expected: DataFrame, found: DataFrame, key: list[str]) ->
     return both.select(*key, "found", status.alias("status"))
 
 
-def lower_median(value: Column) -> Column:
+def merge_occurrences(base: DataFrame, overlay: DataFrame, key: list[str], place: list[str]) -> DataFrame:
+    """Occurrences of a base and its overlay in one order per key; those at the same place of a
+    key stay as often as they are there. ``position`` counts from 1."""
+    both = base.select(*key, *place).unionByName(overlay.select(*key, *place))
+    return both.withColumn("position", F.row_number().over(Window.partitionBy(*key).orderBy(*place)).cast("long"))
+
+
+def distinct_occurrences(rows: DataFrame, key: list[str], place: list[str]) -> DataFrame:
+    """One row for each place of a key."""
+    return rows.dropDuplicates([*key, *place])
+
+
+def merge_reports(reports: DataFrame, counters: list[str]) -> DataFrame:
+    """Reports of parts as one: counters are added, it is partial if any part is."""
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in counters]
+    return reports.agg(*sums, F.coalesce(F.bool_or("is_partial"), F.lit(False)).alias("is_partial"))
+
+
+def evidence_metrics(findings: DataFrame, traces: str) -> DataFrame:
+    """``traces``: an array of traces, each an array of steps. Totals of both; null traces count as none."""
+    steps = F.aggregate(F.col(traces), F.lit(0).cast("long"), lambda n, t: n + F.greatest(F.size(t), F.lit(0)))
+    return findings.agg(
+        F.coalesce(F.sum(F.greatest(F.size(traces), F.lit(0)).cast("long")), F.lit(0)).alias("n_traces"),
+        F.coalesce(F.sum(F.coalesce(steps, F.lit(0))), F.lit(0)).alias("n_steps"),
+    )
+
+
+def lower_median(column: str) -> Column:
     """The sorted element at (n - 1) / 2, never an average."""
-    return F.percentile_disc(value, 0.5) if hasattr(F, "percentile_disc") else F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {value})")
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}`)")
 
 
 def digest(parts: Column) -> Column:

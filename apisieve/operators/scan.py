@@ -13,21 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import chain_parts, package_root, private_ipv4_or_localhost, private_ipv6
+from ..functions import canonical_chain, package_root, private_ipv4_or_localhost, private_ipv6
+from ..functions.chains import GLOBAL_OBJECTS
 from ..plans.physical import Root
 from .predicates import all_hold
 
-#: Global objects that stand for one another at the head of a chain.
-GLOBAL_OBJECTS = ("window", "self", "globalThis", "global")
-
-
-def canonical_chain(chain: Column) -> Column:
-    """Chains under a global object lose it, so that aliases have one key."""
-    head = F.get(chain_parts(chain), F.lit(0))
-    rest = F.regexp_replace(chain, r"^[^.]+\.", "")
-    return F.when(head.isin(*GLOBAL_OBJECTS) & chain.contains("."), rest).otherwise(chain)
-
-
 def _canonical(chain: str) -> str:
     head, dot, rest = chain.partition(".")
     return rest if dot and head in GLOBAL_OBJECTS else chain

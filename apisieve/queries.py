@@ -503,7 +503,7 @@ def report_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT event_type, quantile_disc(value, 0.5) AS median FROM events GROUP BY 1")
 def median_duration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value)").alias("median"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(report.lower_median("value").alias("median"))
 
 
 @query("SELECT user_id, sha256(string_agg(CAST(event_id AS VARCHAR) || ':' || event_type, chr(10) ORDER BY event_id)) AS digest FROM events GROUP BY 1")
@@ -548,3 +548,7 @@ def glob_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     p = F.regexp_extract("url", "://[^/]*/([^?#]*)", 1)
     return table(spark, sf_dir, "pages").select("page_id", included(p, ["*.html"], ["en/**"]).alias("included"))
+
+
+# the other modules of queries register theirs in the same tables
+from . import link_queries, rule_queries  # noqa: E402, F401
