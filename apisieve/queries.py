@@ -480,11 +480,12 @@ def export_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # reports ------------------------------------------------------------------------------------------
-@query("""WITH b AS (SELECT event_type, count(*) AS before FROM events WHERE user_id % 2 = 0 GROUP BY 1), a AS (SELECT event_type, count(*) AS after FROM events WHERE event_id % 2 = 0 AND event_type <> 'view' GROUP BY 1)
-SELECT event_type, coalesce(before, 0) AS before, coalesce(after, 0) AS after FROM b FULL OUTER JOIN a USING (event_type) WHERE coalesce(before, 0) <> coalesce(after, 0)""")
+@query("""SELECT p_type, before, after FROM (SELECT p_type, count(*) FILTER (WHERE l_linestatus = 'F') AS before, count(*) FILTER (WHERE l_linestatus = 'O') AS after
+FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1) WHERE before <> after""")
 def rule_count_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return report.compare_counts(e.filter("user_id % 2 = 0"), e.filter("event_id % 2 = 0 AND event_type <> 'view'"), "event_type")
+    """Lines by type of part: those shipped against those open."""
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    return report.compare_counts(lines.filter("l_linestatus = 'F'"), lines.filter("l_linestatus = 'O'"), "p_type")
 
 
 @query("""WITH x(event_type, c) AS (VALUES ('view', NULL), ('click', 0), ('nothing', NULL), ('absent', 0), ('error', 1)), n AS (SELECT event_type, count(*) AS found FROM events GROUP BY 1)
@@ -514,11 +515,14 @@ def evidence_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # sources ------------------------------------------------------------------------------------------
-@query("SELECT page_id, regexp_extract(html, '<script[^>]*>(.*?)</script>', 1, 's') AS script, CAST(regexp_extract(html, 'track\\(([0-9]+)\\)', 1) AS BIGINT) AS tracked FROM pages")
+@query("""SELECT page_id, CAST(k - 1 AS INTEGER) AS block, script, CAST(nullif(regexp_extract(script, 'track\\(([0-9]+)\\)', 1), '') AS BIGINT) AS tracked FROM (
+SELECT page_id, generate_subscripts(scripts, 1) AS k, unnest(scripts) AS script FROM (SELECT page_id, regexp_extract_all(html, '<script[^>]*>(.*?)</script>', 1, 's') AS scripts FROM pages))""")
 def page_script_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    script = F.regexp_extract("html", r"(?s)<script[^>]*>(.*?)</script>", 1)
-    pages = table(spark, sf_dir, "pages").select("page_id", script.alias("script"))
-    return pages.select("page_id", "script", F.regexp_extract("script", r"track\(([0-9]+)\)", 1).cast("long").alias("tracked"))
+    """Every script block of every page, and what it tracks."""
+    blocks = F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), 1)
+    pages = table(spark, sf_dir, "pages").select("page_id", F.posexplode(blocks).alias("block", "script"))
+    tracked = F.regexp_extract("script", r"track\(([0-9]+)\)", 1)
+    return pages.select("page_id", "block", "script", F.when(tracked != "", tracked).cast("long").alias("tracked"))
 
 
 @query()
