@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows written into the plan itself, so that no Python worker makes them."""
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    structs = [F.struct(*[F.lit(v).cast(t).alias(c) for v, (c, t) in zip(row, fields, strict=True)]) for row in rows]
+    empty = F.array().cast("array<struct<" + ",".join(f"{c}:{t}" for c, t in fields) + ">>")
+    return spark.range(1).select(F.inline(F.array(*structs) if rows else empty))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 

@@ -112,7 +112,9 @@ r AS (
     WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule FROM q)
 SELECT page_id, host, path, rule, CASE
   WHEN rule IN ('example.com/en/', 'net/es/', 'net/fr/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
-  WHEN regexp_matches(host, '(^|[.-])(casino|spam|poker|viagra|porn|xxx|warez)([.-]|$)') THEN 'block' ELSE 'allow' END AS verdict
+  WHEN regexp_matches(host, '(^|[.-])(casino|spam|poker|viagra|porn|xxx|warez)([.-]|$)') THEN 'block'
+  WHEN regexp_matches(host || path, '(^|[^A-Za-z0-9])(best|buy|cheap|discount|download|free|live|online|order|win)([^A-Za-z0-9]+[A-Za-z0-9]+){0,2}[^A-Za-z0-9]+(betting|casino|cialis|crack|diploma|escort|essays|followers|jackpot|keygen|loans|lottery|pills|poker|porn|replica|slots|viagra|warez|xxx)([^A-Za-z0-9]|$)') THEN 'block'
+  WHEN regexp_matches(host || path, '^[^/]*/([^/]*/)*(ad-click|affiliate-offers|doorway-page|free-followers|link-exchange|link-farm|paid-links|parked-domain|spam-trap)(/|$)') THEN 'block' ELSE 'allow' END AS verdict
 FROM r
 """
 

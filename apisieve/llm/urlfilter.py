@@ -9,7 +9,7 @@ their expression. Rules without a safe token are candidates for every URL.
 Distinct (host, path) pairs are judged once, so repeated URLs cost one judgement.
 
 Defined cases: null urls and urls without ``://`` have an empty host and path and
-fit no rule; repeated rows are each returned; columns of the input other than the
+fit no rule; of fitting rules of one rank the greater label, then ``block``, decides; repeated rows are each returned; columns of the input other than the
 id and the url are ignored; an empty table gives an empty result.
 """
 
@@ -21,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import literal_rows
+
 #: Beyond so many index rows the index is shuffled instead of broadcast.
 BROADCAST_ROWS = 100_000
 
@@ -55,9 +57,24 @@ def word_rule(word: str, verdict: str = "block") -> Rule:
     return Rule(rf"^(?:[^/]*[.-])?{re.escape(word)}(?:[./-]|$)", (word,), verdict, 1)
 
 
-#: The method's own rules: words of link farms and of gambling or adult hosts.
+def phrase_rule(first: str, second: str, verdict: str = "block") -> Rule:
+    """Two whole tokens in this order, with two other tokens between them at most, anywhere in the URL."""
+    return Rule(rf"(?:^|[^A-Za-z0-9]){first}(?:[^A-Za-z0-9]+[A-Za-z0-9]+){{0,2}}[^A-Za-z0-9]+{second}(?:[^A-Za-z0-9]|$)", (first, second), verdict, 1)
+
+
+def section_rule(name: str, verdict: str = "block") -> Rule:
+    """A whole segment of the path."""
+    return Rule(rf"^[^/]*/(?:[^/]*/)*{re.escape(name)}(?:/|$)", tuple(name.split("-")), verdict, 1)
+
+
+#: The method's own rules: words of link farms and of gambling or adult hosts, ...
 WORDS = ("casino", "spam", "poker", "viagra", "porn", "xxx", "warez")
-PATTERNS = tuple(word_rule(w) for w in WORDS)
+#: ... what is advertised and how, ...
+OFFERS = ("best", "buy", "cheap", "discount", "download", "free", "live", "online", "order", "win")
+GOODS = ("betting", "casino", "cialis", "crack", "diploma", "escort", "essays", "followers", "jackpot", "keygen", "loans", "lottery", "pills", "poker", "porn", "replica", "slots", "viagra", "warez", "xxx")
+#: ... and sections of sites. Letters of paths count as they are.
+SECTIONS = ("ad-click", "affiliate-offers", "doorway-page", "free-followers", "link-exchange", "link-farm", "paid-links", "parked-domain", "spam-trap")
+PATTERNS = (*map(word_rule, WORDS), *(phrase_rule(a, b) for a in OFFERS for b in GOODS), *map(section_rule, SECTIONS))
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -77,11 +94,12 @@ def judge_urls(pages: DataFrame, rules: list[Rule], default: str = "allow", id_c
     keys = pages.select("host", "path").distinct()
     tokens = keys.select("host", "path", F.explode(F.array_distinct(F.split(F.concat("host", "path"), "[^A-Za-z0-9]+"))).alias("token"))
 
-    rule_rows = spark.createDataFrame(
+    rule_rows = literal_rows(
+        spark,
         [(i, r.pattern, r.verdict, r.rank, r.label) for i, r in enumerate(rules)],
         "rule_id int, pattern string, verdict string, rank int, rule string",
     )
-    rule_tokens = spark.createDataFrame([(i, t) for i, r in enumerate(rules) for t in r.tokens], "rule_id int, token string")
+    rule_tokens = literal_rows(spark, [(i, t) for i, r in enumerate(rules) for t in r.tokens], "rule_id int, token string")
     small = sum(len(r.tokens) for r in rules) <= BROADCAST_ROWS
     hint = F.broadcast if small else (lambda df: df)
 
