@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, chat, lattice, lbl, ngram_join, oph, packing, pii, toxicity, urlfilter
-from .common import crc_mod, table
+from .common import crc_mod, literal_rows, table
 
 #: Host and path rules of op6, with their verdicts.
 OP6_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
@@ -39,7 +39,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
     words = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", words), (-7, 1, "assistant", words)], "conv_id long, turn long, role string, text string")
+    extra = literal_rows(spark, [(-7, 0, "user", words), (-7, 1, "assistant", words)], "conv_id long, turn long, role string, text string")
     done = chat.format_reply_trees(chat.conversations_as_trees(rows.unionByName(extra)), branches=1)
     roles, texts = chat.parse(F.col("formatted"))
     done = done.select("conv_id", "formatted", "loss_spans", roles.alias("roles"), texts.alias("texts"))
