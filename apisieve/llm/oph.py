@@ -13,7 +13,9 @@ sentinel for each bin before they are sorted, so that the first entry of every b
 in order is its least value, or the sentinel if the bin is empty.
 
 Defined cases: null texts are empty; texts under five words are one shingle; texts
-without words have the empty fingerprint, alike to itself (1) and to no other (0).
+without words have the empty fingerprint, alike to itself (1) and to no other (0);
+repeated rows are each returned, neighbours by text; columns other than doc_id and
+text are left out; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -90,12 +92,15 @@ def next_by_id(docs: DataFrame) -> DataFrame:
 
     hint = F.broadcast if n // ROWS_A_BUCKET <= BROADCAST_ROWS else (lambda df: df)
     tops = docs.groupBy("bucket").agg(F.max("doc_id").alias("top"))
-    # A row for each bucket: a few numbers only, so these two windows over all of them stay light.
+    # The next lower bucket: within a group of neighbouring buckets by a window of the group; for a
+    # group's last one, the first of the next lower group. The one window over all rows sees a row
+    # for each group, which is one in ROWS_A_BUCKET squared rows.
+    grouped = tops.select("bucket", F.floor(F.col("bucket") / ROWS_A_BUCKET).alias("group"))
     every = Window.partitionBy("all")
-    chain = tops.withColumn("all", F.lit(0)).select(
-        F.col("bucket").alias("from_bucket"),
-        F.coalesce(F.lead("bucket").over(every.orderBy(F.col("bucket").desc())), F.max("bucket").over(every)).alias("bucket"),
-    )
+    firsts = grouped.groupBy("group").agg(F.max("bucket").alias("first")).withColumn("all", F.lit(0))
+    after = firsts.select("group", F.coalesce(F.lead("first").over(every.orderBy(F.col("group").desc())), F.max("first").over(every)).alias("after"))
+    lower = F.lead("bucket").over(Window.partitionBy("group").orderBy(F.col("bucket").desc()))
+    chain = grouped.withColumn("lower", lower).join(hint(after), "group").select(F.col("bucket").alias("from_bucket"), F.coalesce("lower", "after").alias("bucket"))
     heads = docs.join(hint(tops.withColumnRenamed("bucket", "top_bucket")), (F.col("bucket") == F.col("top_bucket")) & F.col("doc_id").eqNullSafe(F.col("top")))
     heads = heads.select("bucket", "doc_id", "text", F.row_number().over(inside).alias("k")).filter("k = 1").select("bucket", F.col("text").alias("head_text"))
     heads = with_fingerprint(heads, "head_text", "head_fp")

@@ -60,3 +60,20 @@ def test_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = oph.fingerprint_neighbours(docs).collect()
     check(got, [(r.doc_id, r.text or "") for r in docs.collect()])
+
+
+def test_chain_over_gaps_and_groups(spark, monkeypatch):
+    """Ids in far clumps: buckets and groups of buckets with nothing between them."""
+    monkeypatch.setattr(oph, "ROWS_A_BUCKET", 2)
+    rows = [(base + k, f"text {base} {k}") for base in (-5000, 0, 7, 1000, 90000) for k in range(9)] + [(None, "none"), (90008, "again")]
+    got = oph.fingerprint_neighbours(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(d, hashlib.sha256(e.encode()).hexdigest()) for d, _, _, e in expected(rows)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r.doc_id, r.edited_sha256) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_very_long_text(spark):
+    rows = [(1, "word " * 200_000), (2, "x" * 300_000), (3, "a b c d e f")]
+    got = {r.doc_id: r for r in oph.fingerprint_neighbours(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {d: hashlib.sha256(e.encode()).hexdigest() for d, _, _, e in expected(rows)}
+    assert {d: r.edited_sha256 for d, r in got.items()} == want and got[1].n_chars == 1_000_000
