@@ -23,7 +23,7 @@ class Chunks(dict):
     chunks met again move over, so frequent chunks are never encoded anew.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]], most: int = 200_000, longest: int = 64):
+    def __init__(self, encode: Callable[[str], list[int]], most: int = 500_000, longest: int = 64):
         super().__init__()
         self.encode, self.most, self.longest = encode, most, longest
         self.old: dict[str, int] = {}
