@@ -57,10 +57,14 @@ def json_encoder(path: str, pattern: str):
     return lambda text: coder.encode(text, allowed_special="all") if marks.search(text) else coder.encode_ordinary(text)
 
 
+#: Chunks that a worker keeps in a generation: time against memory, some 100 MB for each 250,000.
+KEPT = 500_000
+
+
 @lru_cache(maxsize=4)
-def chunks_of(path: str, pattern: str) -> Chunks:
+def chunks_of(path: str, pattern: str, most: int = KEPT) -> Chunks:
     """One for each Python worker, which keeps what it has learnt between tasks."""
-    return Chunks(json_encoder(path, pattern))
+    return Chunks(json_encoder(path, pattern), most)
 
 
 def pack(lengths: list[int], length: int = LENGTH, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
@@ -93,12 +97,12 @@ def pack(lengths: list[int], length: int = LENGTH, linear: float = LINEAR, quadr
     return out
 
 
-def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 0, length: int = LENGTH, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, pattern: str, end_id: int = 0, length: int = LENGTH, group_tokens: int = GROUP_TOKENS, kept: int = KEPT) -> DataFrame:
     """One row for each piece, with its ids (little-endian unsigned 32-bit integers)."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = chunks_of(path, pattern)
+        coder = chunks_of(path, pattern, kept)
         base, held, tokens = (TaskContext.get().partitionId() << 33), [], 0
         end = np.array([end_id], np.uint32)
 

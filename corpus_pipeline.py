@@ -56,7 +56,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences."""
-    return packing.digest(packing.pack_documents(docs, queries.tokenizer("byte_bpe_50k.json"), queries.pattern()))
+    return packing.digest(packing.pack_documents(docs, queries.tokenizer("byte_bpe_50k.json"), queries.pattern(), kept=200_000))
 
 
 STAGES = [("toxicity", drop_toxic), ("ngram_jaccard_join", drop_near_copies), ("pii", redact_pii), ("packing", pack)]
