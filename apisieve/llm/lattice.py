@@ -7,10 +7,11 @@ table make the cell. A vector is stored in its own cell and probes neighbouring
 those of its next-nearest lattice points. Pairs that meet in a cell, at least one of them
 stored there, are verified by cosine in double precision.
 
-Blocks, scale, probes and tables go by the number of vectors (PLANS): more vectors take
-smaller cells and more tables, so a vector meets some hundred unlike ones at most while
-pairs at the threshold still meet with a probability of about 0.97 (simulated; measured
-at several lengths in the tests).
+Blocks, scale, probes and tables (a plan) are the same for every table, whatever its size, so
+whether a pair is found goes by its two vectors alone. Under each of PLANS pairs at the
+threshold meet with a probability of about 0.97 (simulated; measured at several lengths in the
+tests); those of smaller cells and more tables suit more vectors. PLAN is that for millions:
+fewer cost more cells than they need, more meet some hundred unlike ones each and then more.
 
 Links are counted, not listed. A pair may meet in several cells, so each task counts it
 only if its cell is the first of them, which both vectors' cell lists tell. A task gives
@@ -45,7 +46,7 @@ SEED = 20240
 
 @dataclass(frozen=True)
 class Plan:
-    """Up to how many vectors, and the blocks, scale, probes and tables for so many."""
+    """Up to how many vectors it suits, and its blocks, scale, probes and tables."""
 
     most: float
     blocks: int
@@ -55,6 +56,8 @@ class Plan:
 
 
 PLANS = (Plan(2e4, 1, 0.78, 3, 6), Plan(1.5e5, 2, 0.5, 3, 8), Plan(6e5, 2, 0.6, 7, 9), Plan(5e6, 3, 0.5, 7, 15), Plan(float("inf"), 4, 0.5, 7, 36))
+#: The plan that ``near_vectors`` takes at any size.
+PLAN = PLANS[3]
 CELL_ROWS = 1024
 #: Up to so many cells (12 bytes each) are broadcast; more are joined by shuffling.
 BROADCAST_CELLS = 500_000
@@ -234,7 +237,7 @@ def _compare(threshold: float, tables: int, probes: int):
     return run
 
 
-def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, name: str = "lattice") -> DataFrame:
+def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, name: str = "lattice", plan: Plan = PLAN) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding, label)."""
     value = F.col("embedding")
     sound = F.col("label").isNotNull() & value.isNotNull() & F.forall(value, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(value, lambda x: x != 0)
@@ -247,8 +250,6 @@ def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, name: str = "lat
     classes = classes.withColumn("vector", F.coalesce("vector", F.array()))
     # A class goes by a number: unlike vec_ids it is never null or repeated. It is written once.
     classes = cut(classes.withColumn("class", F.monotonically_increasing_id()), f"{name}-classes")
-    n = classes.count()
-    plan = next(p for p in PLANS if n <= p.most)
     kind = "class long, members long, keys array<long>, unit binary"
     signed = cut(classes.filter(F.size("vector") > 0).select("class", "members", "label", "vector").mapInPandas(_signatures(plan), kind), f"{name}-signed")
 
