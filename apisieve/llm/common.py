@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,3 +76,29 @@ BATCH_ROWS = 500
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Bounds what a Python worker holds at once; rows here are whole texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+#: What modules keep in a Python worker between tasks.
+KEPT = (("apisieve.llm.packing", "chunks_of"),)
+
+
+def trim() -> None:
+    """Gives this process's freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
+def tidy(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``run`` for Python workers that operators before have used: what these keep goes first, what ``run`` freed goes at its end."""
+
+    def tidied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for module, name in KEPT:
+            if (found := sys.modules.get(module)) is not None:
+                getattr(found, name).cache_clear()
+        trim()
+        yield from run(batches)
+        trim()
+
+    return tidied

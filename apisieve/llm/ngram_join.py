@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, discard, small_batches
+from .common import cut, discard, small_batches, tidy
 from .components import components
 
 WORDS, PERCENT = 3, 90
@@ -126,7 +126,7 @@ def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
         if n:
             yield counted()
 
-    total = docs.select("text").mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+    total = docs.select("text").mapInPandas(tidy(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     total = cut(total.select("token", F.floor(4 * F.log2("n")).cast("int").alias("rank")), "jaccard-frequent")
     room, least = HEAVY, 1 << 30
     for r in total.groupBy("rank").count().orderBy(F.col("rank").desc()).collect():  # some hundred classes
@@ -190,7 +190,7 @@ def _sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int, p
                 frame[c] = np.array([x - (x >> 63 << 64) for x in frame[c]], dtype=np.int64)
             yield frame
 
-    return docs.select("doc_id", "text").mapInPandas(run, kind)
+    return docs.select("doc_id", "text").mapInPandas(tidy(run), kind)
 
 
 def _may_link(x: str, y: str, percent: int) -> Column:
@@ -239,7 +239,7 @@ def _near(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, percent
                 keep.append(bool(common) and 100 * common >= percent * (len(p) + len(last) - common))
             yield batch.loc[keep, ["a", "b"]]
 
-    links = cut(first.join(second, "b").select("a", "b", "x", "y").mapInPandas(verify, "a long, b long").distinct(), f"{name}-links")
+    links = cut(first.join(second, "b").select("a", "b", "x", "y").mapInPandas(tidy(verify), "a long, b long").distinct(), f"{name}-links")
     discard(pairs, like, passed)
     return links
 
@@ -292,7 +292,7 @@ def _hot(heads: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> dict[int,
             n += np.bincount(at[often[at] == h], minlength=len(often))
         yield pd.DataFrame({"token": often[n > 0].view(np.int64), "n": n[n > 0]})
 
-    total = heads.select("p1").mapInPandas(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > GROUP)
+    total = heads.select("p1").mapInPandas(tidy(count), "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") > GROUP)
     return {r.token & (2**64 - 1): -(-r.n // GROUP) for r in total.collect()}
 
 
@@ -344,7 +344,7 @@ def _postings(heads: DataFrame, hot: dict[int, int], ranges: int) -> DataFrame:
         if n:
             yield blocks()
 
-    return heads.select("doc_id", "comp", "n", "p1", *FOLDS).mapInPandas(run, "range long, block binary")
+    return heads.select("doc_id", "comp", "n", "p1", *FOLDS).mapInPandas(tidy(run), "range long, block binary")
 
 
 def _meet(percent: int):
