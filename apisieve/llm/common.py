@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 import tempfile
 import uuid
@@ -102,3 +103,11 @@ def tidy(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Cal
         trim()
 
     return tidied
+
+
+def settle(spark: SparkSession) -> None:
+    """Lets go of spent plans and of their broadcast tables and shuffle files, here and on the executors:
+    else they stay until the driver's heap happens to be full."""
+    gc.collect()
+    trim()
+    spark._jvm.System.gc()

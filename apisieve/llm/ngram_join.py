@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, discard, small_batches, tidy
+from .common import cut, discard, settle, small_batches, tidy
 from .components import components
 
 WORDS, PERCENT = 3, 90
@@ -239,6 +239,7 @@ def _near(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, percent
                 keep.append(bool(common) and 100 * common >= percent * (len(p) + len(last) - common))
             yield batch.loc[keep, ["a", "b"]]
 
+    settle(docs.sparkSession)
     links = cut(first.join(second, "b").select("a", "b", "x", "y").mapInPandas(tidy(verify), "a long, b long").distinct(), f"{name}-links")
     discard(pairs, like, passed)
     return links
@@ -390,6 +391,7 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent = _frequent(docs, size)
     sets = cut(_sets(docs, frequent, size, percent), f"{name}-sets")
+    settle(docs.sparkSession)
     light = sets.select("doc_id", "n", "d1", "d2")
     known = light.filter("n > 0 AND doc_id IS NOT NULL")
     classes = cut(known.groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members")), f"{name}-classes")
@@ -401,6 +403,7 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     for k in range(STARS):
         links.append(_near(docs, heads, _star(heads, at, k, percent), size, percent, f"{name}-star{k}"))
         at = _few(components(reduce(DataFrame.unionByName, links), f"{name}-stars"))
+        settle(docs.sparkSession)
 
     placed = heads.select("doc_id", "n", "p1", *_folds()).join(at.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     placed = placed.select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "n", "p1", *FOLDS)
@@ -416,6 +419,7 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
     same = rows.join(repeated, "doc_id").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = components(reduce(DataFrame.unionByName, [*links, same]), f"{name}-components")
     discard(copies, *links)
+    settle(docs.sparkSession)
     classes = classes.join(final.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", F.coalesce("component", "rep").alias("component"))
     rows = light.join(classes, ["d1", "d2"], "left")
     component = F.when((F.col("n") == 0) | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.col("component"))
