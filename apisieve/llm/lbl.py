@@ -34,10 +34,13 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
+from functools import cached_property
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,8 +51,8 @@ OWN, SUFFIXES, HASHED, TOP = 96, 128, 31, 200_000
 END, CLASSES = OWN, OWN + 1 + SUFFIXES + HASHED
 CONTEXTS, CONTEXT_LEAST, WINDOW = 16_384, 10, 16
 DIM, NOISE, BATCH, RATE, SEED = 16, 24, 4096, 0.1, 7
-#: Tokens scored at a time.
-SCORED = 1024
+#: Tokens scored at a time, and scores whose exponentials and their sums are within the range of single precision.
+SCORED, SAFE = 1024, 80.0
 #: Passes over the training texts, whatever their number; texts that a task trains on at a time.
 PASSES, TEXTS = 1, 500
 #: Numbers in a block of parameters, and groups of tasks that are summed first.
@@ -95,36 +98,52 @@ class Model:
     def contexts(self) -> int:
         return len(self.p["r"]) - CLASSES - 1
 
+    @cached_property
+    def codes(self) -> Codes:
+        """Made once where the model is used; a worker keeps it for its tasks as long as the model."""
+        return Codes(self)
+
 
 def ending_class(word: bytes, endings: dict[bytes, int]) -> int:
     k = endings.get(word[-3:])
     return END + 1 + (SUFFIXES + zlib.crc32(word[-3:]) % HASHED if k is None else k)
 
 
+class Tails(dict):
+    """Class of a word without a class of its own, by its last three bytes; kept up to a bound."""
+
+    def __init__(self, endings: dict[bytes, int]):
+        self.endings = endings
+
+    def __missing__(self, tail: bytes) -> int:
+        c = ending_class(tail, self.endings)
+        if len(self) < 65_536:
+            self[tail] = c
+        return c
+
+
 class Codes(dict):
-    """Place of a word among the model's words, or their number and the word's class; what is not
-    among them is worked out each time beyond a bound. ``context``, ``cls`` and ``log_n`` go by that place."""
+    """Place of a word among the model's words; what is not among them has their number and the
+    word's class as its place. ``context``, ``cls`` and ``log_n`` go by that place."""
 
     def __init__(self, model: Model):
         super().__init__((w, k) for k, w in enumerate(model.words))
-        self.endings, self.far = model.endings, len(model.words)
+        self.far = len(model.words)
         own = [k if k < OWN else ending_class(w, model.endings) for k, w in enumerate(model.words)]
         self.cls = np.array(own + list(range(CLASSES)), np.int64)
         self.context = np.where(np.arange(len(self.cls)) < min(model.contexts, self.far), np.arange(len(self.cls)), model.contexts + self.cls)
         self.log_n = np.concatenate([np.log10(model.n + SMOOTH), np.zeros(CLASSES)])
-        self.room = self.far + 300_000
-
-    def __missing__(self, word: bytes) -> int:
-        place = self.far + ending_class(word, self.endings)
-        if len(self) < self.room:
-            self[word] = place
-        return place
+        self.tails = Tails(model.endings)
 
 
 def places(texts: list[list[bytes]], codes: Codes) -> tuple[np.ndarray, ...]:
     """Place, and the start and end of its text for each token; every text's end included."""
     sizes = np.array([len(w) for w in texts], np.int64)
-    words = np.fromiter(map(codes.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
+    flat = list(chain.from_iterable(texts))
+    words = np.fromiter(map(codes.get, flat, repeat(-1)), np.int64, len(flat))
+    far = np.nonzero(words < 0)[0]
+    words[far] = [codes.tails[flat[k][-3:]] for k in far.tolist()]
+    words[far] += codes.far
     ends = np.cumsum(sizes + 1)
     out = np.full(len(words) + len(texts), codes.far + END)
     inside = np.ones(len(out), bool)
@@ -140,39 +159,52 @@ def encode(texts: list[list[bytes]], codes: Codes) -> tuple[np.ndarray, ...]:
 
 
 def _parts(p: dict, code: np.ndarray, start: np.ndarray, a: int, b: int) -> tuple[np.ndarray, ...]:
-    """The context's codes one and two before, and its three parts, of tokens a to b."""
-    at, pad = np.arange(a, b), len(p["r"]) - 1
-    one, two = (np.where(at - k >= start[a:b], code[np.maximum(at - k, 0)], pad) for k in (1, 2))
-    first = max(0, a - WINDOW)
+    """Which of tokens a to b have no word one and two before, and the three parts of their contexts."""
+    at, begin, first, pad = np.arange(a, b), start[a:b], max(0, a - WINDOW), p["r"][-1]
+    rows = np.empty((b - first + 2, DIM), np.float32)  # two rows, and one for each token from the first
+    rows[:2] = pad
+    np.take(p["r"], code[first:b], 0, out=rows[2:], mode="clip")
+    none, few = at == begin, at - begin < 2
+    x1, x2 = rows[a - first + 1 : b - first + 1].copy(), rows[a - first : b - first].copy()
+    x1[none], x2[few] = pad, pad
     run = np.zeros((b - first + 1, DIM), np.float32)
-    np.cumsum(p["r"][code[first:b]], 0, out=run[1:])
-    bag = (run[at - first] - run[np.maximum(start[a:b], at - WINDOW) - first]) * np.float32(WINDOW**-0.5)
-    return one, two, p["r"][one], p["r"][two], bag
+    np.cumsum(rows[2:], 0, out=run[1:])
+    bag = run[a - first : b - first] - run[np.maximum(begin, at - WINDOW) - first]
+    bag *= np.float32(WINDOW**-0.5)
+    return none, few, x1, x2, bag
 
 
-def log_classes(p: dict, code: np.ndarray, start: np.ndarray, a: int, b: int) -> np.ndarray:
-    """Normalised natural log-probabilities of all classes for tokens a to b."""
-    s = _scores(p, code, start, a, b)
-    return s - np.log(np.exp(s).sum(1, keepdims=True))
+def _context(p: dict, x1: np.ndarray, x2: np.ndarray, bag: np.ndarray) -> np.ndarray:
+    """The three parts, scaled and added up."""
+    x = x1 * p["a"][0]
+    x += x2 * p["a"][1]
+    x += bag * p["a"][2]
+    return x
 
 
-def _scores(p: dict, code: np.ndarray, start: np.ndarray, a: int, b: int) -> np.ndarray:
-    """Scores of all classes, the greatest of each token 0."""
+def log_classes(p: dict, code: np.ndarray, start: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Normalised natural log-probabilities of all classes for tokens a to b."""
     *_, x1, x2, bag = _parts(p, code, start, a, b)
-    s = (x1 * p["a"][0] + x2 * p["a"][1] + bag * p["a"][2]) @ p["q"].T
-    s += p["b"]
+    s = _context(p, x1, x2, bag) @ p["q"].T + p["b"]
     s -= s.max(1, keepdims=True)
-    return s
+    return s - np.log(np.exp(s).sum(1, keepdims=True))
 
 
 def log_targets(p: dict, code: np.ndarray, cls: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Normalised natural log-probability of each token's class."""
     out = np.empty(len(code))
+    q = np.ascontiguousarray(np.column_stack([p["q"], p["b"]]).T)
+    longest, highest = np.sqrt((p["q"] ** 2).sum(1).max()), np.abs(p["b"]).max()
+    x, scores, ones = np.ones((SCORED, DIM + 1), np.float32), np.empty((SCORED, CLASSES), np.float32), np.ones(CLASSES, np.float32)
     for a in range(0, len(code), SCORED):
         b = min(len(code), a + SCORED)
-        s = _scores(p, code, start, a, b)
+        *_, x1, x2, bag = _parts(p, code, start, a, b)
+        x[: b - a, :DIM] = context = _context(p, x1, x2, bag)
+        s = np.matmul(x[: b - a], q, out=scores[: b - a])
+        if not np.sqrt(np.einsum("ij,ij->i", context, context).max()) * longest + highest < SAFE:
+            s -= s.max(1, keepdims=True)
         own = s[np.arange(b - a), cls[a:b]]
-        out[a:b] = own - np.log(np.exp(s, out=s).sum(1))
+        out[a:b] = own - np.log(np.exp(s, out=s) @ ones)
     return out
 
 
@@ -184,6 +216,14 @@ def _sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[heads], np.add.reduceat(rows[order], heads)
 
 
+def _sigmoid(s: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.clip(s, -20, 20, out=s)
+    np.exp(np.negative(s, out=s), out=s)
+    s += 1
+    return np.reciprocal(s, out=s)
+
+
 class Trainer:
     """Descends the contrastive loss over the tokens it is given (steps scaled by past gradients)."""
 
@@ -196,28 +236,40 @@ class Trainer:
 
     def step(self, code: np.ndarray, target: np.ndarray, start: np.ndarray, end: np.ndarray, a: int, b: int) -> None:
         p, n = self.p, b - a
-        one, two, x1, x2, bag = _parts(p, code, start, a, b)
-        x, y = x1 * p["a"][0] + x2 * p["a"][1] + bag * p["a"][2], target[a:b]
+        none, few, x1, x2, bag = _parts(p, code, start, a, b)
+        x, y = _context(p, x1, x2, bag), target[a:b]
         drawn = self.rng.choice(CLASSES, NOISE, p=self.noise)
-        true = (x * p["q"][y]).sum(1) + p["b"][y] - self.log_noise[y]
-        false = x @ p["q"][drawn].T + p["b"][drawn] - self.log_noise[drawn]
-        true, false = (1 / (1 + np.exp(-np.clip(s, -20, 20))) - k for s, k in ((true, 1), (false, 0)))
-        d_x = true[:, None] * p["q"][y] + false @ p["q"][drawn]
-        g = {"q": np.zeros_like(p["q"]), "b": np.bincount(y, true, CLASSES).astype(np.float32), "a": np.stack([(d_x * part).sum(0) for part in (x1, x2, bag)])}
+        q_y, q_drawn = p["q"][y], p["q"][drawn]
+        true = np.einsum("ij,ij->i", x, q_y) + p["b"][y] - self.log_noise[y]
+        false = x @ q_drawn.T + (p["b"][drawn] - self.log_noise[drawn])
+        true, false = _sigmoid(true) - 1, _sigmoid(false)
+        d_x = false @ q_drawn
+        q_y *= true[:, None]
+        d_x += q_y
+        g = {"q": np.zeros_like(p["q"]), "b": np.bincount(y, true, CLASSES).astype(np.float32), "a": np.stack([np.einsum("ij,ij->j", d_x, part) for part in (x1, x2, bag)])}
         met, d_q = _sums(y, true[:, None] * x)
         g["q"][met] = d_q
         np.add.at(g["q"], drawn, false.T @ x)
         np.add.at(g["b"], drawn, false.sum(0))
-        # a word in the window of later tokens gets the sum of their gradients
+        # a word gets the sum of the gradients of the later tokens that have it in their window, and of
+        # the next two; what these lack before them is the last vector's, in the row before the first word's
         first = max(0, a - WINDOW)
         run = np.zeros((n + 1, DIM), np.float32)
         np.cumsum(d_x * (p["a"][2] * np.float32(WINDOW**-0.5)), 0, out=run[1:])
         at = np.arange(first, b)
         low = np.clip(at + 1 - a, 0, n)
         high = np.maximum(np.minimum(np.minimum(end[first:b], at + WINDOW + 1), b) - a, low)
-        codes = np.concatenate([code[first:b], one, two])
-        d_r = np.concatenate([run[high] - run[low], d_x * p["a"][0], d_x * p["a"][1]])
-        rows, d_r = _sums(codes, d_r)
+        d_r = np.zeros((b - first + 2, DIM), np.float32)
+        np.subtract(run[high], run[low], out=d_r[2:])
+        d_1, d_2 = d_x * p["a"][0], d_x * p["a"][1]
+        lacked = d_1[none].sum(0) + d_2[few].sum(0)
+        d_1[none], d_2[few] = 0, 0
+        d_r[a - first + 1 : b - first + 1] += d_1
+        d_r[a - first : b - first] += d_2
+        codes, skip = code[first:b], 2
+        if few.any():
+            d_r[1], skip, codes = lacked, 1, np.concatenate([[len(p["r"]) - 1], codes])
+        rows, d_r = _sums(codes, d_r[skip:])
         for k, d in g.items():
             self.past[k] += d * d
             p[k] -= RATE * d / np.sqrt(self.past[k])
@@ -260,7 +312,7 @@ def _pass(learnt: DataFrame, model: Model, turn: int) -> dict[str, np.ndarray]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, task = shared.value, TaskContext.get().partitionId()
-        codes, trainer = Codes(model), Trainer(model.p, model.noise, [SEED, turn, task])
+        codes, trainer = model.codes, Trainer(model.p, model.noise, [SEED, turn, task])
         for batch in batches:
             for k in range(0, len(batch), TEXTS):
                 trainer.run(*encode([tokens(t) for t in batch["text"].iloc[k : k + TEXTS]], codes))
@@ -340,14 +392,14 @@ def apply_model(docs: DataFrame, model: Model, counts: DataFrame, name: str = "l
     base_mass = float(np.log10(model.n_all + SMOOTH * (model.v_all + 1)))
     end_log = float(np.log10(model.n_docs + SMOOTH))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        codes, base = Codes(model), TaskContext.get().partitionId() << 33
+        codes, base = model.codes, TaskContext.get().partitionId() << 33
         for batch in batches:
-            texts = [tokens(t) for t in batch["text"]]
+            texts = [tokens(t) for t in batch["text"].to_numpy(zero_copy_only=False)]
             if not texts:
                 continue
-            at, start, end = places(texts, codes)
+            at, start, _ = places(texts, codes)
             cls = codes.cls[at]
             logs = log_targets(model.p, codes.context[at], cls, start) / np.log(10)
             sizes = np.array([len(w) for w in texts])
@@ -357,39 +409,38 @@ def apply_model(docs: DataFrame, model: Model, counts: DataFrame, name: str = "l
             share[last] = end_log
             heads = last - sizes
             known = at < codes.far
-            known[last] = model.n_docs > 0
-            done = pd.DataFrame(
-                {
-                    "row": base + np.arange(len(texts)),
-                    "doc_id": pd.array([None if pd.isna(d) else int(d) for d in batch["doc_id"]], dtype="Int64"),
-                    "held_out": ~batch["trains"].to_numpy().astype(bool),
-                    "n_tokens": sizes + 1,
-                    "n_known": np.add.reduceat(known.astype(np.int64), heads),
-                    "base": np.add.reduceat(share, heads),
-                    "score": np.add.reduceat(logs + inner, heads),
-                }
-            )
             # what is not in the broadcast table adds its own logarithm by the join
             known[last] = True
             far = np.nonzero(~known)[0]
-            owner = np.searchsorted(last, far)
-            met = Counter((int(k), texts[k][j]) for k, j in zip(owner, (far - heads[owner]).tolist(), strict=True))
-            rest = [(base + k, w, n) for (k, w), n in met.items()]
+            known[last] = model.n_docs > 0
+            words, times, most = [], [], []
+            cuts = np.searchsorted(far, np.append(heads, len(at))).tolist()
+            far = far.tolist()
+            for text, head, low, high in zip(texts, heads.tolist(), cuts[:-1], cuts[1:], strict=True):
+                met = Counter([text[k - head] for k in far[low:high]])
+                words += met.keys()
+                times += met.values()
+                most.append(len(met))
+            rare = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "k"])
+            columns = {
+                "row": pa.array(base + np.arange(len(texts))),
+                "doc_id": batch["doc_id"],
+                "held_out": pc.invert(batch["trains"]),
+                "n_tokens": pa.array(sizes + 1),
+                "n_known": pa.array(np.add.reduceat(known.astype(np.int64), heads)),
+                "base": pa.array(np.add.reduceat(share, heads)),
+                "score": pa.array(np.add.reduceat(logs + inner, heads)),
+                "rare": pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(most)]), pa.int32()), rare),
+            }
             base += len(texts)
-            more = pd.DataFrame(rest, columns=["row", "word", "k"])
-            out = pd.concat([done, more]) if len(more) else done.assign(word=None, k=None)
-            for name_ in ("doc_id", "n_tokens", "n_known", "k"):
-                out[name_] = out[name_].astype("Int64")
-            out["held_out"] = out["held_out"].astype("boolean")
-            out["word"] = out["word"].where(out["word"].notna(), None)
-            yield out[["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "word", "k"]]
-
-    kind = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, k long"
-    parts = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "trains").mapInPandas(run, kind), f"{name}-parts")
-    rare = parts.filter("word IS NOT NULL").select("row", "word", "k").join(counts, "word", "left")
+            yield pa.RecordBatch.from_pydict(columns)
+
+    kind = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rare array<struct<word:binary,k:long>>"
+    parts = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "trains").mapInArrow(run, kind), f"{name}-parts")
+    rare = parts.select("row", F.inline("rare")).join(counts, "word", "left")
     n = F.coalesce("n", F.lit(0))
     rare = rare.groupBy("row").agg(F.sum(F.when(n > 0, F.col("k")).otherwise(0)).alias("more_known"), F.sum(F.col("k") * F.log10(n + SMOOTH)).alias("more"))
-    done = parts.filter("word IS NULL").drop("word", "k").join(rare, "row", "left")
+    done = parts.drop("rare").join(rare, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return done.select(
         "doc_id",
