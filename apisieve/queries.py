@@ -476,7 +476,7 @@ def export_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = F.concat(F.lit("region:"), ((F.col("r_regionkey") + 1) % n).cast("string"))
     stars = stars.unionByName(region.select(module("region", "r_regionkey").alias("module"), after.alias("source")))
     # Three levels, then round the cycle: a target comes, and may turn ambiguous later, once round each.
-    return graph.resolve_exports(own, graph.cut(stars.distinct()), rounds=3 + 2 * n + 1)
+    return graph.resolve_exports(own, stars, rounds=3 + 2 * n + 1)
 
 
 # reports ------------------------------------------------------------------------------------------
