@@ -3,7 +3,8 @@
 Under the pre-token pattern of the byte-level vocabularies a space belongs to the
 word after it, so wherever no white space (or the end) follows a space, a text's
 ids are those of its space-led chunks, one after another. Chunks repeat, and their
-ids are kept; other texts are encoded whole. The store is cleared when it is full.
+ids are kept; other texts are encoded whole. A text's chunks that are not kept are
+encoded together: in their ids, each begins at an id that begins with a space.
 """
 
 from __future__ import annotations
@@ -16,63 +17,52 @@ import numpy as np
 UNSAFE = re.compile(r" (?:\s|\Z)")
 
 
-class Chunks(dict):
-    """Maps a chunk (after its space) to its place in the pool of ids.
+class Chunks:
+    """Keeps the ids of a chunk (after its space) as bytes, little-endian, 32 bits each.
 
     Two generations are kept: when the young one is full it becomes the old one, and
     chunks met again move over, so frequent chunks are never encoded anew.
+    ``leads`` says of each id whether it begins with a space.
     """
 
-    def __init__(self, encode: Callable[[str], list[int]], most: int = 200_000, longest: int = 64):
-        super().__init__()
-        self.encode, self.most, self.longest = encode, most, longest
-        self.old: dict[str, int] = {}
-        self.old_start = self.old_size = self.old_pool = np.zeros(0, np.int64)
-        self._fresh()
+    def __init__(self, encode: Callable[[str], list[int]], leads: np.ndarray, most: int = 200_000, longest: int = 64):
+        self.encode, self.leads, self.most, self.longest = encode, leads, most, longest
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.used = 0
 
-    def _fresh(self) -> None:
-        self.n = self.used = 0
-        self.start, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.pool = np.zeros(1 << 14, np.uint32)
+    def _encoded(self, chunks: list[str]) -> list[bytes]:
+        ids = np.array(self.encode(" " + " ".join(chunks)), "<u4")
+        at = np.flatnonzero(self.leads[ids])
+        if len(at) != len(chunks) or at[0]:  # special tokens may hold spaces
+            return [np.array(self.encode(" " + c), "<u4").tobytes() for c in chunks]
+        data, cuts = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+        return [data[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
-    def _age(self) -> None:
-        self.old = dict(self)
-        self.old_start, self.old_size, self.old_pool = self.start, self.size, self.pool
-        self.clear()
-        self._fresh()
-
-    def __missing__(self, chunk: str) -> int:
-        at = self.old.get(chunk)
-        if at is None:
-            ids = self.encode(" " + chunk)
-        else:
-            a = self.old_start[at]
-            ids = self.old_pool[a : a + self.old_size[at]]
-        k, n = self.n, len(ids)
-        while self.used + n > len(self.pool):
-            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        if k == len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
-        self.pool[self.used : self.used + n] = ids
-        self.start[k], self.size[k] = self.used, n
-        self.used += n
-        self.n += 1
-        if len(chunk) <= self.longest:
-            self[chunk] = k
-        return k
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        known = {c: self.old.get(c) for c in chunks}
+        new = [c for c, ids in known.items() if ids is None]
+        if new:
+            known.update(zip(new, self._encoded(new), strict=True))
+        kept = {c: ids for c, ids in known.items() if len(c) <= self.longest} if max(map(len, known)) > self.longest else known
+        self.young.update(kept)
+        self.used += sum(map(len, kept.values())) // 4
+        return known
 
     def ids(self, text: str) -> np.ndarray:
         """Token ids, uint32."""
         if UNSAFE.search(text):
             return np.asarray(self.encode(text), dtype=np.uint32)
         first, *rest = text.split(" ")
-        head = np.asarray(self.encode(first), dtype=np.uint32)
+        head = np.array(self.encode(first), "<u4")
         if not rest:
-            return head
-        if self.n > self.most or self.used > 16 * self.most:
-            self._age()
-        at = np.fromiter(map(self.__getitem__, rest), np.int64, len(rest))
-        size = self.size[at]
-        ends = np.cumsum(size)
-        tail = self.pool[np.repeat(self.start[at] - (ends - size), size) + np.arange(ends[-1])]
-        return np.concatenate([head, tail])
+            return head.astype(np.uint32)
+        if len(self.young) > self.most or self.used > 16 * self.most:
+            self.old, self.young, self.used = self.young, {}, 0
+        found = list(map(self.young.get, rest))
+        if None in found:
+            at = [k for k, ids in enumerate(found) if ids is None]
+            learnt = self._learn([rest[k] for k in at])
+            for k in at:
+                found[k] = learnt[rest[k]]
+        return np.frombuffer(b"".join([head.tobytes(), *found]), "<u4").astype(np.uint32, copy=False)

@@ -42,7 +42,7 @@ PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, seq
 
 def json_encoder(path: str, pattern: str):
     """Encodes as the byte-level BPE in a tokenizers file does, by its vocabulary's ranks
-    (its special tokens' strings are those tokens)."""
+    (its special tokens' strings are those tokens); and whether an id begins with a space, by ids."""
     import tiktoken
 
     with open(path, encoding="utf-8") as f:
@@ -54,7 +54,9 @@ def json_encoder(path: str, pattern: str):
     ranks = {bytes(byte_of[c] for c in t): i for t, i in spec["model"]["vocab"].items() if t not in special}
     coder = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
     marks = re.compile("|".join(map(re.escape, special)) or r"(?!)")
-    return lambda text: coder.encode(text, allowed_special="all") if marks.search(text) else coder.encode_ordinary(text)
+    leads = np.zeros(1 + max([*ranks.values(), *special.values()]), bool)
+    leads[[i for t, i in ranks.items() if t[:1] == b" "]] = True
+    return (lambda text: coder.encode(text, allowed_special="all") if marks.search(text) else coder.encode_ordinary(text)), leads
 
 
 #: Chunks that a worker keeps in a generation: time against memory, some 100 MB for each 250,000.
@@ -64,7 +66,7 @@ KEPT = 500_000
 @lru_cache(maxsize=4)
 def chunks_of(path: str, pattern: str, most: int = KEPT) -> Chunks:
     """One for each Python worker, which keeps what it has learnt between tasks."""
-    return Chunks(json_encoder(path, pattern), most)
+    return Chunks(*json_encoder(path, pattern), most)
 
 
 def pack(lengths: list[int], length: int = LENGTH, linear: float = LINEAR, quadratic: float = QUADRATIC) -> list[tuple[int, int, int, int, int]]:
