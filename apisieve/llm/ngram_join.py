@@ -57,6 +57,8 @@ HEAVY, COUNTED = 1_000_000, 1_000_000
 STARS, KEYS, LEAST, PIVOTS = 2, 4, 2, 4
 #: Postings of a range of tokens; of a token's slice; that a task packs at a time.
 RANGE, GROUP, PACKED = 250_000, 4096, 100_000
+#: Odd numbers by which tokens (hashes, well mixed) are multiplied; the orders go by the high bits of the products.
+ORDERS = tuple(np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64))
 #: Parities of a set's tokens, by the low bits of their hashes.
 BITS = tuple(f"bits{k}" for k in range(8))
 #: Fewer parities, for postings: each adds up some of those.
@@ -67,39 +69,65 @@ PAIRS = 150
 BROADCAST_IDS = 1_000_000
 
 
-class WordHash(dict):
-    """Hash of a word (bytes); kept for words seen, up to a bound."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) >= 200_000:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = h
-        return h
-
-
 def mix(h: np.ndarray, seed: int = 0) -> np.ndarray:
     h = h + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & 0xFFFFFFFFFFFFFFFF)
-    h ^= h >> np.uint64(30)
+    high = h >> np.uint64(30)
+    h ^= high
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(27)
+    h ^= np.right_shift(h, np.uint64(27), out=high)
     h *= np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h ^= np.right_shift(h, np.uint64(31), out=high)
+    return h
+
+
+#: White space, as bytes.split() has it; a number for every byte; powers of an odd number, and of its inverse.
+SPACE = np.isin(np.arange(256), list(b" \t\n\r\x0b\f"))
+BYTE = mix(np.arange(256, dtype=np.uint64), 6)
+LONGEST, PIECE = 64, 1 << 16
+_ODD = 0x9E3779B97F4A7C13
+POWER, INVERSE = (np.cumprod(np.array([1] + [x % 2**64] * (PIECE + LONGEST), np.uint64)) for x in (_ODD, pow(_ODD, -1, 2**64)))
+
+
+class WordHash:
+    """Hashes of a text's words. A word's is the sum of its bytes' numbers, each times the power of
+    its place, so that all words are taken from one running sum; long words are hashed one by one."""
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        chars = np.frombuffer(text, np.uint8)
+        gap = np.ones(len(chars) + 2, bool)
+        gap[1:-1] = SPACE[chars]
+        edge = np.flatnonzero(gap[1:] != gap[:-1])
+        start, end = edge[::2], edge[1::2]
+        long = np.flatnonzero(end - start > LONGEST)
+        stop = np.minimum(end, start + LONGEST) if len(long) else end
+        out = []
+        for at in range(0, len(chars), PIECE):  # words that start in a piece of the text
+            some = slice(*np.searchsorted(start, (at, at + PIECE))) if len(chars) > PIECE else slice(None)
+            if not len(start[some]):
+                continue
+            total = np.zeros(min(PIECE + LONGEST, len(chars) - at) + 1, np.uint64)
+            np.cumsum(BYTE[chars[at : at + PIECE + LONGEST]] * POWER[: len(total) - 1], out=total[1:])
+            out.append((total[stop[some] - at] - total[start[some] - at]) * INVERSE[start[some] - at])
+        h = np.concatenate(out) if out else np.empty(0, np.uint64)
+        for k in long:
+            h[k] = xxhash.xxh3_64_intdigest(text[start[k] : end[k]])
+        return h
 
 
 def shingles(text: str | None, words: WordHash, size: int = WORDS) -> np.ndarray:
     """Sorted distinct shingle hashes of a text."""
-    split = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not split:
-        return np.empty(0, np.uint64)
-    if len(split) < size:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(split), seed=len(split))], np.uint64)
-    h = np.fromiter(map(words.__getitem__, split), np.uint64, len(split))
-    out = h[: len(h) - size + 1].copy()
+    lower = (text or "").encode("utf-8", "surrogatepass").lower()
+    h = words(lower)
+    if not len(h):
+        return h
+    if len(h) < size:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(lower.split()), seed=len(h))], np.uint64)
+    out = h[: len(h) - size + 1]
     for k in range(1, size):
         out = mix(out, k) + h[k : len(h) - size + 1 + k]
-    return np.unique(mix(out, size))
+    out = mix(out, size)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def prefix_length(n: int, percent: int = PERCENT) -> int:
@@ -142,11 +170,23 @@ def _frequent(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
     return token[order], np.minimum(rank[order] + 1, 255).astype(np.uint8)
 
 
-def _rank(h: np.ndarray, token: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    if not len(token):
-        return np.zeros(len(h), np.uint64)
-    at = np.minimum(np.searchsorted(token, h), len(token) - 1)
-    return np.where(token[at] == h, rank[at], 0).astype(np.uint64)
+#: High bits of a token by which most tokens that aren't frequent are told apart from those.
+MARK = np.uint64(64 - 22)
+
+
+def _marks(token: np.ndarray) -> np.ndarray:
+    out = np.zeros(1 << 22, bool)
+    out[token >> MARK] = True
+    return out
+
+
+def _rank(h: np.ndarray, token: np.ndarray, rank: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(h), np.uint64)
+    some = np.flatnonzero(marks[h >> MARK])
+    if len(some):
+        at = np.minimum(np.searchsorted(token, h[some]), len(token) - 1)
+        out[some] = np.where(token[at] == h[some], rank[at], 0)
+    return out
 
 
 def _sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int, percent: int) -> DataFrame:
@@ -164,18 +204,19 @@ def _sets(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray], size: int, p
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, (token, ranks) = WordHash(), shared.value
+        marks = _marks(token)
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 h = shingles(text, words, size)
-                n, rank = len(h), _rank(h, token, ranks) << np.uint64(56)
+                n, rank = len(h), _rank(h, token, ranks, marks) << np.uint64(56)
                 k = prefix_length(n, percent) if n else 0
                 digest = xxhash.xxh3_128_intdigest(h.tobytes())
                 own = []
-                for order in (11, 12, 13):
-                    key = rank | (mix(h, order) >> np.uint64(8))
+                for order in ORDERS:
+                    key = rank | (h * order >> np.uint64(8))
                     some = np.sort(np.argpartition(key, k - 1)[:k]) if 0 < k < n else np.arange(k)
-                    own.append(h[some[np.argsort(key[some], kind="stable")] if order == 11 else some])
+                    own.append(h[some[np.argsort(key[some], kind="stable")] if order == ORDERS[0] else some])
                 low = [x.astype(np.uint32).view(np.int32) for x in own[1:]]
                 keys = np.empty(0, np.int64)
                 if n:
