@@ -16,12 +16,14 @@ counts only steer the orders, so what they miss costs candidates, never links.
 
 Equal sets are one class from the start. Large groups of near copies are joined up before
 the index is met: in each of STARS rounds a set has a few keys (the least hashes in ranges
-of the hash space, which alike sets mostly share), and a key's members of other components
-than its pivots' are candidates with the pivots. Links found are contracted.
-
-Then the index. Postings (token, set, component, length, place in the prefix, folded
-parities) travel packed, a block for each task and range of tokens. A task that gets a
-range sorts it and meets, within each token, pairs of unlike components by length order,
+of the hash space, which alike sets mostly share), and each of a key's members is a candidate
+with the pivot nearest to it by parities, of those of other components. Links found are contracted.
+
+Then the index. Most tokens are in one set only. So postings travel twice, packed, a block
+for each task and range of tokens: first all, but only their tokens' low bits, sets, components
+and places, to find the tokens that sets of unlike components share; then those of such tokens,
+with the sets' lengths and folded parities. What travels of a posting doesn't go by the number
+of ranges. A task that gets a range sorts it and meets, within each token, pairs of unlike components by length order,
 as long as the lengths allow a link; a pair is a candidate where the places of the shared
 token leave room for the overlap it needs, which holds at least at its first shared token.
 No link between components is lost: links inside one component change nothing. Tokens
@@ -257,7 +259,8 @@ def _near(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, percent
 
     def both(pairs: DataFrame, columns: tuple[str, ...], key: tuple[str, ...], passes: Column, step: str) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        some = sets.join(_few(ids), "doc_id", "left_semi").select("doc_id", *columns, *[c for c in key if c not in columns]).dropDuplicates(["doc_id", *key])
+        ids = F.broadcast(ids) if 2 * pairs.count() <= BROADCAST_IDS else ids
+        some = sets.join(ids, "doc_id", "left_semi").select("doc_id", *columns, *[c for c in key if c not in columns]).dropDuplicates(["doc_id", *key])
         for side in ("a", "b"):
             pairs = pairs.join(some.select(F.col("doc_id").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in columns]), side)
         return cut(pairs.filter(passes).select("a", "b").distinct(), f"{name}-{step}")
@@ -287,7 +290,8 @@ def _near(docs: DataFrame, sets: DataFrame, pairs: DataFrame, size: int, percent
 
 
 def _star(heads: DataFrame, at: DataFrame | None, k: int, percent: int) -> DataFrame:
-    """Candidates (a, pivot b) of round ``k``: members of a key whose component isn't the pivot's."""
+    """Candidates (a, pivot b) of round ``k``: for a member of a key the pivot nearest to it, of those
+    of other components that it may be linked with; so there are KEYS of a member at most."""
     keyed = heads.select(F.col("doc_id").alias("id"), "n", *_folds(), F.explode(F.slice("keys", k * KEYS + 1, KEYS)).alias("key"))
     if at is not None:
         keyed = keyed.join(at.withColumnRenamed("node", "id"), "id", "left").select("id", "n", *FOLDS, "key", F.coalesce("component", "id").alias("comp"))
@@ -299,24 +303,54 @@ def _star(heads: DataFrame, at: DataFrame | None, k: int, percent: int) -> DataF
     pivots = keyed.groupBy("key").agg(F.array_distinct(F.array(*pivots)).alias("p"))
     apart = " + ".join(f"bit_count({c} ^ x.{c})" for c in FOLDS)
     fits = "x -> x.comp <> comp AND 100 * least(n, x.n) >= {0} * greatest(n, x.n) AND ({1}) * (100 + {0}) <= (n + x.n) * (100 - {0})".format(percent, apart)
-    return keyed.join(pivots, "key").select(F.col("id").alias("a"), F.explode(F.expr(f"filter(p, {fits})")).alias("p")).select("a", F.col("p.id").alias("b"))
+    nearest = F.expr(f"array_min(transform(filter(p, {fits}), x -> struct({apart} AS apart, x.h AS h, x.id AS id)))")
+    return keyed.join(pivots, "key").select(F.col("id").alias("a"), nearest.alias("p")).filter("p IS NOT NULL").select("a", F.col("p.id").alias("b"))
 
 
-_COLUMNS = ("id", "comp", "n", "place", "side")
+#: Low bytes of a token that travel: equal tokens stay equal, and unlike ones that meet cost a candidate.
+TOKEN = 5
 
 
-def _pack(wide: list[np.ndarray], rest: list[np.ndarray]) -> bytes:
-    """Columns one after another; the small numbers by their bytes' places, which compresses to what they hold."""
-    packed = [np.array([len(wide[0])], np.int64).tobytes(), *[x.tobytes() for x in wide]]
-    packed += [x.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for x in rest]
-    return b"".join(packed)
+def _pack(token: np.ndarray, wide: list[np.ndarray], rest: list[np.ndarray]) -> bytes:
+    """Columns one after another: tokens by their low bytes, hashes, then small numbers by their bytes' places, which compresses to what they hold."""
+    planes = [token.view(np.uint8).reshape(-1, 8)[:, :TOKEN].tobytes(), *[x.tobytes() for x in wide]]
+    planes += [x.astype(np.int64).view(np.uint8).reshape(-1, 8).T.tobytes() for x in rest]
+    return b"".join([np.array([len(token)], np.int64).tobytes(), *planes])
 
 
-def _unpack(block: bytes) -> list[np.ndarray]:
+def _unpack(block: bytes, wide: int, rest: int) -> list[np.ndarray]:
     n = int(np.frombuffer(block, np.int64, 1)[0])
-    first = 1 + len(FOLDS)
-    wide = [np.frombuffer(block, np.uint64, n, 8 + 8 * n * k) for k in range(first)]
-    return wide + [np.ascontiguousarray(np.frombuffer(block, np.uint8, 8 * n, 8 + 8 * n * (first + k)).reshape(8, n).T).view(np.int64).ravel() for k in range(len(_COLUMNS))]
+    token = np.zeros((n, 8), np.uint8)
+    token[:, :TOKEN] = np.frombuffer(block, np.uint8, TOKEN * n, 8).reshape(n, TOKEN)
+    at = 8 + TOKEN * n
+    columns = [np.frombuffer(block, np.uint64, n, at + 8 * n * k) for k in range(wide)]
+    columns += [np.ascontiguousarray(np.frombuffer(block, np.uint8, 8 * n, at + 8 * n * (wide + k)).reshape(8, n).T).view(np.int64).ravel() for k in range(rest)]
+    return [token.view(np.uint64).ravel(), *columns]
+
+
+def _blocks(held: list[list[np.ndarray]], wide: int, ranges: int) -> pd.DataFrame:
+    """(range, block) of columns: a token, ``wide`` hashes, ids, small numbers. Ids go as differences, which are small where neighbours' ids are."""
+    columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+    part = (mix(columns[0] & np.uint64(2 ** (8 * TOKEN) - 1), 5) % np.uint64(ranges)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    columns, part = [x[order] for x in columns], part[order]
+    cuts = [0, *(np.nonzero(part[1:] != part[:-1])[0] + 1).tolist(), len(part)]
+    rows = []
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        token, *rest = (x[a:b] for x in columns)
+        rest[wide] = np.diff(rest[wide], prepend=0)
+        rows.append((int(part[a]), _pack(token, rest[:wide], rest[wide:])))
+    return pd.DataFrame(rows, columns=["range", "block"])
+
+
+def _columns(blocks: pd.DataFrame, wide: int, rest: int) -> list[np.ndarray]:
+    """What went into blocks."""
+    held = []
+    for block in blocks["block"]:
+        columns = _unpack(block, wide, rest)
+        columns[1 + wide] = np.cumsum(columns[1 + wide])
+        held.append(columns)
+    return [np.concatenate(x) for x in zip(*held, strict=True)]
 
 
 def _hot(heads: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> dict[int, int]:
@@ -339,23 +373,12 @@ def _hot(heads: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> dict[int,
 
 
 def _postings(heads: DataFrame, hot: dict[int, int], ranges: int) -> DataFrame:
-    """(range, block) of the prefix tokens of (doc_id, comp, n, p1, folds)."""
+    """(range, block) of the prefix tokens of (doc_id, comp, p1): token, id, component, place and side."""
     shared = heads.sparkSession.sparkContext.broadcast((np.array(sorted(hot), np.uint64), np.array([hot[t] for t in sorted(hot)], np.int64)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hot_token, slices = shared.value
         held, n = [], 0
-
-        def blocks() -> pd.DataFrame:
-            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-            part = (mix(columns[0], 5) % np.uint64(ranges)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            columns, part = [x[order] for x in columns], part[order]
-            wide, rest = columns[: 1 + len(FOLDS)], columns[1 + len(FOLDS) :]
-            cuts = [0, *(np.nonzero(part[1:] != part[:-1])[0] + 1).tolist(), len(part)]
-            rows = [(int(part[a]), _pack([x[a:b] for x in wide], [x[a:b] for x in rest])) for a, b in zip(cuts, cuts[1:], strict=False)]
-            return pd.DataFrame(rows, columns=["range", "block"])
-
         for batch in batches:
             if not len(batch):
                 continue
@@ -363,10 +386,9 @@ def _postings(heads: DataFrame, hot: dict[int, int], ranges: int) -> DataFrame:
             size = batch["p1"].map(len).to_numpy() // 8
             ends = np.cumsum(size)
             place = np.arange(len(token)) - np.repeat(ends - size, size)
-            own = [np.repeat(batch[c].to_numpy(), size) for c in ("doc_id", "comp", "n")]
+            own = [np.repeat(batch[c].to_numpy(), size) for c in ("doc_id", "comp")]
             own[1] = np.where(own[1] == own[0], 0, own[1] ^ own[0])  # mostly nothing, which compresses
-            folds = [np.repeat(batch[c].to_numpy(), size).view(np.uint64) for c in FOLDS]
-            row = [token, *folds, *own, place, np.zeros(len(token), np.int64)]
+            row = [token, *own, place, np.zeros(len(token), np.int64)]
             if len(hot_token):
                 at = np.minimum(np.searchsorted(hot_token, token), len(hot_token) - 1)
                 many = hot_token[at] == token
@@ -374,32 +396,67 @@ def _postings(heads: DataFrame, hot: dict[int, int], ranges: int) -> DataFrame:
                 index = np.repeat(np.arange(len(token)), times)
                 other = np.arange(len(index)) - np.repeat(np.cumsum(times) - times, times)
                 row, many, k = [x[index] for x in row], many[index], times[index]
-                mine = (mix(row[1 + len(FOLDS)].astype(np.uint64), 3) % k.astype(np.uint64)).astype(np.int64)
+                mine = (mix(row[1].astype(np.uint64), 3) % k.astype(np.uint64)).astype(np.int64)
                 lo, hi = np.minimum(mine, other), np.maximum(mine, other)
                 row[0] = np.where(many, mix(row[0] ^ mix((lo * k + hi).astype(np.uint64), 9), 9), row[0])
                 row[-1] = np.where(many & (lo != hi), 1 + (mine == hi), 0)
             held.append(row)
             n += len(row[0])
             if n >= PACKED:
-                yield blocks()
+                yield _blocks(held, 0, ranges)
+                held, n = [], 0
+        if n:
+            yield _blocks(held, 0, ranges)
+
+    return heads.select("doc_id", "comp", "p1").mapInPandas(tidy(run), "range long, block binary")
+
+
+def _shared(blocks: pd.DataFrame) -> pd.DataFrame:
+    """Of a range, the postings of tokens that unlike components have."""
+    token, ids, comp, place, side = _columns(blocks, 0, 4)
+    order = np.argsort(token, kind="stable")
+    order = order[_mixed(token[order], (comp ^ ids)[order])]
+    return pd.DataFrame({"doc_id": ids[order], "token": token[order].view(np.int64), "place": place[order], "side": side[order]})
+
+
+def _mixed(token: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Whether a token has unlike components, for sorted tokens."""
+    start = np.nonzero(np.concatenate([[True], token[1:] != token[:-1]]))[0]
+    size = np.diff(np.append(start, len(token)))
+    return np.repeat(np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start), size)
+
+
+def _whole(postings: DataFrame, ranges: int) -> DataFrame:
+    """(range, block) of postings with all columns."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, n = [], 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            ids, comp = batch["doc_id"].to_numpy(), batch["comp"].to_numpy()
+            hashes = [batch[c].to_numpy().view(np.uint64) for c in ("token", *FOLDS)]
+            held.append([*hashes, ids, np.where(comp == ids, 0, comp ^ ids), *[batch[c].to_numpy() for c in ("n", "place", "side")]])
+            n += len(batch)
+            if n >= PACKED:
+                yield _blocks(held, len(FOLDS), ranges)
                 held, n = [], 0
         if n:
-            yield blocks()
+            yield _blocks(held, len(FOLDS), ranges)
 
-    return heads.select("doc_id", "comp", "n", "p1", *FOLDS).mapInPandas(tidy(run), "range long, block binary")
+    return postings.select("doc_id", "token", "place", "side", "comp", "n", *FOLDS).mapInPandas(tidy(run), "range long, block binary")
 
 
 def _meet(percent: int):
     """Candidates of a range: pairs of unlike components within a token."""
 
     def run(blocks: pd.DataFrame) -> pd.DataFrame:
-        token, *folds, ids, comp, n, place, side = (np.concatenate(x) for x in zip(*map(_unpack, blocks["block"]), strict=True))
+        token, *rest = _columns(blocks, len(FOLDS), 5)
+        folds, (ids, comp, n, place, side) = rest[: len(FOLDS)], rest[len(FOLDS) :]
         comp = comp ^ ids
         order = np.lexsort((n, token))
         token, comp = token[order], comp[order]
-        start = np.nonzero(np.concatenate([[True], token[1:] != token[:-1]]))[0]
-        size = np.diff(np.append(start, len(token)))
-        mixed = np.repeat(np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start), size)
+        mixed = _mixed(token, comp)
         order, token, comp = order[mixed], token[mixed], comp[mixed]
         ids, n, place, side, *folds = (x[order] for x in (ids, n, place, side, *folds))
         found, alive, d = [], np.arange(len(token)), 0
@@ -446,13 +503,19 @@ def jaccard_components(docs: DataFrame, size: int = WORDS, percent: int = PERCEN
         at = _few(components(reduce(DataFrame.unionByName, links), f"{name}-stars"))
         settle(docs.sparkSession)
 
-    placed = heads.select("doc_id", "n", "p1", *_folds()).join(at.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    placed = placed.select("doc_id", F.coalesce("component", "doc_id").alias("comp"), "n", "p1", *FOLDS)
+    comp = F.coalesce("component", "doc_id").alias("comp")
+    placed = heads.join(at.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     total = heads.agg(F.sum(F.length("p1")).alias("n")).first()["n"] or 0
-    ranges = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // (8 * RANGE)))
-    blocks = _postings(placed, _hot(heads, frequent), ranges)
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = _postings(placed.select("doc_id", comp, "p1"), _hot(heads, frequent), max(least, -(-total // (8 * RANGE))))
+    postings = cut(blocks.groupBy("range").applyInPandas(_shared, "doc_id long, token long, place long, side long"), f"{name}-postings")
+    del blocks
+    settle(docs.sparkSession)
+    whole = postings.join(placed.select("doc_id", comp, "n", *_folds()), "doc_id")
+    blocks = _whole(whole, max(least, -(-postings.count() // RANGE)))
     met = blocks.groupBy("range").applyInPandas(_meet(percent), "a long, b long")
     links.append(_near(docs, heads, met, size, percent, f"{name}-index"))
+    discard(postings)
 
     # Classes that hold rows of one doc_id are one document's: link them too.
     rows = known.join(classes, ["d1", "d2"]).select("doc_id", "rep")
